@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -44,3 +44,11 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 def use_state_store(spark: SparkSession) -> None:
     """Keyed state in Python needs the RocksDB state store."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a result to the shared checkpoint folder and go on from there."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark, "lineage"))
+    return df.checkpoint()
