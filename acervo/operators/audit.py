@@ -20,7 +20,7 @@ URL_PATTERN = (
 FICTIONAL_PHONE = r"\A\+34 91 000 00 \d{2}\z"
 FICTIONAL_DOMAIN = ".example.invalid"
 ALLOWED_HOSTS = ("localhost",)
-MANIFEST_SCHEMA_TAG = "connectia-corpus-manifest/v1"
+
 # Least numbers of evaluation questions per expected status.
 LEAST_QUESTIONS = {"found": 5, "not_found": 3, "ambiguous": 2}
 # ----------------------------------------------------------------------------
@@ -102,7 +102,7 @@ def validate_manifest(
     conflicts: DataFrame,
     expected_documents: int = 10,
     expected_multi_version: int = 1,
-    schema_tag: str = MANIFEST_SCHEMA_TAG,
+    schema_tag: str = "corpus-manifest/v1",
 ) -> DataFrame:
     """Violations of the manifest rules, over its flattened tables."""
     c = F.col
