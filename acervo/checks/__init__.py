@@ -1,6 +1,6 @@
 """Registered queries of the engine and their SQL."""
 
-from acervo.checks import texts  # noqa: F401
+from acervo.checks import lifecycles, requests, texts  # noqa: F401
 from acervo.checks.registry import CHECKS, Tables
 
 __all__ = ["CHECKS", "Tables"]
