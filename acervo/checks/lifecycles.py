@@ -149,4 +149,4 @@ def _(t: Tables) -> DataFrame:
     from acervo.operators.diagnostics import delete_counts
 
     gone = t.part.where(F.col("p_size") < 10).select(fr.version_id(F.col("p_partkey")).alias("version_id"))
-    return delete_counts(points(t), sn.delete_versions(points(t), gone), "point_id")
+    return delete_counts(points(t), sn.delete_versions(points(t), gone))

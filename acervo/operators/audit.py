@@ -106,10 +106,11 @@ def validate_manifest(
 ) -> DataFrame:
     """Violations of the manifest rules, over its flattened tables."""
     c = F.col
-    owned = versions.select("document_id", "version_id")
+    owned = versions.select("document_id", "version_id").distinct()
+    known = documents.select("document_id", F.lit(True).alias("known")).distinct()
     per_document = versions.groupBy("document_id").agg(F.count("*").alias("n"))
     multi = per_document.agg(F.count_if(c("n") > 1).alias("n"))
-    checked = replacement.join(documents.select("document_id", F.lit(True).alias("known")), "document_id", "left")
+    checked = replacement.join(known, "document_id", "left")
     for side in ("previous", "current"):
         mark = owned.select("document_id", c("version_id").alias(f"{side}_version_id"), F.lit(True).alias(f"{side}_known"))
         checked = checked.join(mark, ["document_id", f"{side}_version_id"], "left")
