@@ -237,8 +237,7 @@ MANIFEST_AUDIT_SQL = " UNION ALL ".join(
 )
 
 
-@check("validate_manifest", f"WITH {MANIFEST_SQL} {MANIFEST_AUDIT_SQL}")
-def _(t: Tables) -> DataFrame:
+def manifest_tables(t: Tables) -> dict[str, DataFrame]:
     c = F.col
 
     def s(col):
@@ -270,21 +269,53 @@ def _(t: Tables) -> DataFrame:
     conflicts = t.lineitem.select(
         F.concat(F.lit("o"), c("l_orderkey").cast("string")).alias("conflict_id"), s(c("l_suppkey") + shift).alias("document_id")
     )
-    return audit.validate_manifest(documents, versions, replacement, conflicts, schema_tag="corpus/v1")
+    return {"documents": documents, "versions": versions, "replacement": replacement, "conflicts": conflicts}
 
 
-@check(
-    "validate_eval_set",
-    f"""WITH q AS (SELECT conv_id||'-'||turn AS question_id, text AS question, CASE role WHEN 'user' THEN 'found' WHEN 'assistant' THEN 'not_found' ELSE 'other' END AS expected_status,
-      CASE WHEN turn < 2 THEN [conv_id * 3] ELSE [] END AS ids, CASE WHEN turn < 2 THEN [turn] ELSE [] END AS pages FROM conversations)
-    {_part("status", "question_id", "expected_status", "FROM q WHERE expected_status = 'other'")} UNION ALL
+@check("validate_manifest", f"WITH {MANIFEST_SQL} {MANIFEST_AUDIT_SQL}")
+def _(t: Tables) -> DataFrame:
+    return audit.validate_manifest(**manifest_tables(t), schema_tag="corpus/v1")
+
+
+# Sources are customers; what the manifest expects of them comes from their orders.
+INSTITUTIONS_SQL = """institutions AS (SELECT c_custkey, c_name AS name, c_mktsegment AS email, CAST(c_nationkey AS VARCHAR) AS phone,
+  CASE WHEN o_orderstatus = 'P' THEN 'other' ELSE c_name END AS ename, CASE WHEN o_orderpriority = '1-URGENT' THEN NULL ELSE c_mktsegment END AS eemail,
+  CAST(c_nationkey + CASE WHEN o_totalprice > 400000 THEN 1 ELSE 0 END AS VARCHAR) AS ephone
+  FROM customer JOIN orders ON o_orderkey = c_custkey)"""
+INSTITUTIONS_AUDIT_SQL = " UNION ALL ".join(
+    _part(f"institution_{n}", "c_custkey", n, f"FROM institutions WHERE {n} IS DISTINCT FROM e{n}") for n in ("name", "email", "phone")
+)
+
+
+def institutions(t: Tables) -> tuple[DataFrame, DataFrame]:
+    c = F.col
+    own = F.struct(c("c_name").alias("name"), c("c_mktsegment").alias("email"), c("c_nationkey").cast("string").alias("phone"))
+    sources = t.customer.select(c("c_custkey").cast("string").alias("source"), own.alias("institution"))
+    expected = t.customer.join(t.orders, c("o_orderkey") == c("c_custkey")).select(
+        c("c_custkey").cast("string").alias("source"),
+        F.when(c("o_orderstatus") == "P", "other").otherwise(c("c_name")).alias("expected_name"),
+        F.when(c("o_orderpriority") != "1-URGENT", c("c_mktsegment")).alias("expected_email"),
+        (c("c_nationkey") + F.when(c("o_totalprice") > 400000, 1).otherwise(0)).cast("string").alias("expected_phone"),
+    )
+    return sources, expected
+
+
+@check("validate_source_consistency", f"WITH {INSTITUTIONS_SQL} {INSTITUTIONS_AUDIT_SQL}")
+def _(t: Tables) -> DataFrame:
+    return audit.validate_source_consistency(*institutions(t))
+
+
+EVAL_SET_SQL = """q AS (SELECT conv_id||'-'||turn AS question_id, text AS question, CASE role WHEN 'user' THEN 'found' WHEN 'assistant' THEN 'not_found' ELSE 'other' END AS expected_status,
+      CASE WHEN turn < 2 THEN [conv_id * 3] ELSE [] END AS ids, CASE WHEN turn < 2 THEN [turn] ELSE [] END AS pages FROM conversations)"""
+EVAL_SET_AUDIT_SQL = f"""{_part("status", "question_id", "expected_status", "FROM q WHERE expected_status = 'other'")} UNION ALL
     {_part("too_few_questions", "'ambiguous'", "0", "")} UNION ALL
     {_part("unknown_document", "question_id", "id", "FROM (SELECT question_id, unnest(ids) AS id FROM q WHERE expected_status = 'found') WHERE id NOT IN (SELECT doc_id FROM documents)")} UNION ALL
     {_part("page_number", "question_id", "NULL", "FROM q WHERE expected_status = 'found' AND len(list_filter(pages, lambda p: p < 1)) > 0")} UNION ALL
     {_part("not_found_with_documents", "question_id", "NULL", "FROM q WHERE expected_status = 'not_found' AND len(ids) + len(pages) > 0")} UNION ALL
-    {_part("question_text", "question_id", "NULL", "FROM q WHERE nfc_normalize(question) <> question OR regexp_matches(question, '[\\p{Cc}\\p{Cf}]')")}""",
-)
-def _(t: Tables) -> DataFrame:
+    {_part("question_text", "question_id", "NULL", "FROM q WHERE nfc_normalize(question) <> question OR regexp_matches(question, '[\\p{Cc}\\p{Cf}]')")}"""
+
+
+def eval_set(t: Tables) -> tuple[DataFrame, DataFrame]:
     c = F.col
     role = c("role")
     early = c("turn") < 2
@@ -296,7 +327,12 @@ def _(t: Tables) -> DataFrame:
         F.when(early, F.array(c("turn"))).otherwise(F.array().cast("array<bigint>")).alias("expected_pages"),
     )
     documents = t.documents.select(c("doc_id").cast("string").alias("document_id"))
-    return audit.validate_eval_set(questions, documents)
+    return questions, documents
+
+
+@check("validate_eval_set", f"WITH {EVAL_SET_SQL} {EVAL_SET_AUDIT_SQL}")
+def _(t: Tables) -> DataFrame:
+    return audit.validate_eval_set(*eval_set(t))
 
 
 @check("nfc", "SELECT conv_id, turn, nfc_normalize(replace(text, 'é', 'e'||chr(769))) AS text FROM conversations")

@@ -180,14 +180,15 @@ def _(t: Tables) -> DataFrame:
 # Contexts from conversations: a turn asks, the up to six turns before it are its hits.
 CONTEXT_SQL = f"""turns AS (SELECT conv_id, turn, conv_id||'-'||turn AS question_id, text,
     list({{'id': conv_id||'-'||turn, 'text': text, 'role': role}}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS ctx FROM conversations),
-asked AS (SELECT question_id, text AS question, list_reverse(ctx) AS ctx FROM turns WHERE len(ctx) > 0),
-counted AS (
+asked AS (SELECT question_id, text AS question, list_reverse(ctx) AS ctx FROM turns WHERE len(ctx) > 0)"""
+DECIDE_SQL = f"""counted AS (
   SELECT *, list_transform(ctx, lambda c: len(list_filter(words, lambda w: list_contains({fr.tokens('c.text')}, w)))) AS counts
   FROM (SELECT *, {fr.content_words('question')} AS words FROM asked)),
 ranked AS (SELECT *, coalesce(list_reverse_sort(counts)[1], 0) AS best, coalesce(list_reverse_sort(counts)[2], 0) AS second, len(words) AS n FROM counted),
 decided AS (
   SELECT *, CASE WHEN n = 0 THEN 'ambiguous' WHEN best = 0 OR best < n * 0.5 THEN 'not_found' WHEN second = best THEN 'ambiguous'
     WHEN best < n AND second >= 2.0 / 3 * best THEN 'ambiguous' ELSE 'found' END AS status, ctx[list_position(counts, best)] AS top FROM ranked)"""
+CONTEXT_SQL = f"{CONTEXT_SQL},\n{DECIDE_SQL}"
 
 
 def contexts(t: Tables) -> DataFrame:

@@ -156,13 +156,12 @@ def validate_manifest(
     )
 
 
-def validate_source_consistency(sources: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Sources whose institution differs from that of the manifest (one row)."""
-    expected = manifest.select(
-        *[F.col(f"institution.{n}").alias(f"expected_{n}") for n in ("name", "email", "phone")],
-        F.explode("documents").alias("d"),
-        "institution",
-    ).select("expected_name", "expected_email", "expected_phone", F.explode("d.versions.source").alias("source")).distinct()
+def validate_source_consistency(sources: DataFrame, expected: DataFrame) -> DataFrame:
+    """Sources whose institution differs from the one the manifest gives for them.
+
+    ``sources``: source, institution (struct); ``expected``: the institutions
+    table of the flattened manifest.
+    """
     joined = sources.join(expected, "source")
     return unite(
         [

@@ -51,7 +51,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def flatten_manifest(manifest: DataFrame) -> dict[str, DataFrame]:
-    """The nested manifest as tables: documents, versions, replacement, conflicts."""
+    """The nested manifest as tables: documents, versions, replacement, conflicts, institutions."""
     documents = manifest.select(F.col("schema").alias("manifest_schema"), F.explode("documents").alias("d"))
     versions = documents.select("d.documentId", F.posexplode("d.versions").alias("position", "v"))
     replacement = manifest.where(F.col("replacement").isNotNull()).select(
@@ -63,7 +63,12 @@ def flatten_manifest(manifest: DataFrame) -> dict[str, DataFrame]:
     conflicts = manifest.select(F.explode("conflicts").alias("c")).select(
         F.col("c.id").alias("conflict_id"), F.col("c.subject").alias("subject"), F.posexplode("c.claims").alias("position", "k")
     )
+    institutions = manifest.select("institution", F.explode("documents").alias("d")).select(
+        *[F.col(f"institution.{n}").alias(f"expected_{n}") for n in ("name", "email", "phone")],
+        F.explode("d.versions.source").alias("source"),
+    )
     return {
+        "institutions": institutions.distinct(),
         "documents": documents.select(
             "manifest_schema",
             F.col("d.documentId").alias("document_id"),
