@@ -122,7 +122,7 @@ def corpus(t: Tables) -> DataFrame:
 
 
 def flat_pages(t: Tables) -> DataFrame:
-    return corpus(t).select("version_id", F.explode("pages").alias("p")).select("version_id", "p.page", "p.text")
+    return corpus(t).select("version_id", F.explode_outer("pages").alias("p")).select("version_id", "p.page", "p.text")
 
 
 # State of each document's version from its labels.

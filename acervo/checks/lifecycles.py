@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from acervo.checks import fragments as fr
 from acervo.checks.registry import Tables, check
 from acervo.operators import lifecycle, validation
+from acervo.session import cut_lineage
 from acervo.sources import snapshots as sn
 
 
@@ -50,7 +51,8 @@ def _(t: Tables) -> DataFrame:
     FROM judged j""",
 )
 def _(t: Tables) -> DataFrame:
-    versions = lifecycle.version_histories(fr.commands(t)).select("document_id", "version_id", "state")
+    # The scope reads the versions table three times, so it is written once.
+    versions = cut_lineage(lifecycle.version_histories(fr.commands(t)).select("document_id", "version_id", "state"))
     user = F.col("user_id")
     strangers = t.events.select(
         F.concat(F.lit("d"), (user + 1).cast("string")).alias("document_id"),

@@ -95,13 +95,13 @@ def paired_versions(t: Tables) -> DataFrame:
     "preview",
     f"""WITH RECURSIVE {CHUNKS_SQL}, {PAIRED_SQL}, {QUESTIONS_SQL.replace('asked AS', 'texts AS')},
     scoped AS (
-      SELECT t.question_id, t.question AS text, v.version_id, v.document_id,
+      SELECT t.question_id, t.question AS qtext, v.version_id, v.document_id,
         CASE WHEN v.version_id IS NULL THEN 'VERSION_NOT_FOUND' WHEN v.state NOT IN ('READY', 'ACTIVE') THEN 'VERSION_NOT_PREVIEWABLE'
           END AS scope_error
       FROM texts t LEFT JOIN versions v ON v.version_id = 'v'||split_part(t.question_id, '-', 1)),
-    given AS (SELECT *, CASE WHEN scope_error IS NULL THEN text END AS question FROM scoped),
+    given AS (SELECT *, CASE WHEN scope_error IS NULL THEN qtext END AS question FROM scoped),
     {answers_sql("(p.state = 'ACTIVE' AND p.document_id <> q.document_id) OR 'v'||p.doc_id = q.version_id", "given")}
-    SELECT o.* REPLACE (CASE WHEN g.text IS NULL THEN 'QUESTION_INVALID' ELSE g.scope_error END AS error_code, g.text AS question)
+    SELECT o.* REPLACE (CASE WHEN g.qtext IS NULL THEN 'QUESTION_INVALID' ELSE g.scope_error END AS error_code, g.qtext AS question)
     FROM ({ANSWER_OUT_SQL}) o JOIN given g ON o.question_id = g.question_id""",
 )
 def _(t: Tables) -> DataFrame:

@@ -93,7 +93,7 @@ def _(t: Tables) -> DataFrame:
     WHERE version_id IN (SELECT version_id FROM versions WHERE state = 'ACTIVE')""",
 )
 def _(t: Tables) -> DataFrame:
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = t.documents.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("at", "line"))
     points = lines.select(
         (F.col("doc_id") * 100000 + F.col("at") + 1).alias("point_id"), fr.version_id(F.col("doc_id")).alias("version_id")
     )
@@ -359,7 +359,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     cited = answering.build_citations(validation.validate_decisions(replies(t)))
-    rows = cited.select("question_id", F.posexplode("citations").alias("place", "c"))
+    rows = cited.select("question_id", F.posexplode_outer("citations").alias("place", "c")).where(F.col("c").isNotNull())
     return rows.select("question_id", "place", "c.document_id", "c.version_id", "c.page", "c.excerpt")
 
 

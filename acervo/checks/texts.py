@@ -74,7 +74,7 @@ def _(t: Tables) -> DataFrame:
     FROM l GROUP BY doc_id""",
 )
 def _(t: Tables) -> DataFrame:
-    lines = t.spread("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = t.spread("documents").select("doc_id", F.explode_outer(F.split("text", "\n")).alias("line"))
     return lines.groupBy("doc_id").agg(
         F.count("*").alias("lines"),
         F.count_if(tx.is_heading(F.col("line"))).alias("headings"),
@@ -112,7 +112,7 @@ sections AS (
     FROM sections WHERE text <> ''""",
 )
 def _(t: Tables) -> DataFrame:
-    rows = chunking.assign_sections(headed(t)).select("doc_id", F.posexplode("sections").alias("at", "s"))
+    rows = chunking.assign_sections(headed(t)).select("doc_id", F.posexplode_outer("sections").alias("at", "s"))
     return rows.select(
         "doc_id", F.col("s.page").cast("bigint").alias("page"), "s.section", "s.text", (F.col("at") + 1).alias("section_no")
     )
@@ -214,7 +214,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     split = chunking.split_recursive()
-    return t.spread("documents").select("doc_id", F.posexplode(split(F.col("text"))).alias("piece_no", "text"))
+    return t.spread("documents").select("doc_id", F.posexplode_outer(split(F.col("text"))).alias("piece_no", "text"))
 
 
 @check(
@@ -227,7 +227,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     pieces = fr.flat_pages(t).select(
-        "version_id", "page", F.lit(0).alias("section_no"), F.posexplode(F.split("text", "\n")).alias("piece_no", "text")
+        "version_id", "page", F.lit(0).alias("section_no"), F.posexplode_outer(F.split("text", "\n")).alias("piece_no", "text")
     )
     return chunking.assign_chunk_index(pieces).drop("section_no")
 

@@ -105,9 +105,13 @@ def canonical_text(col: Column, least: int, most: int) -> Column:
 
 
 def is_heading(line: Column) -> Column:
-    """A short, all upper-case line that does not end like a sentence."""
+    """A short, all upper-case line that does not end like a sentence.
+
+    The first test follows from the third; it turns most lines away at once.
+    """
     return (
-        (F.length(line) <= MAX_HEADING_CHARACTERS)
+        ~line.rlike("[a-z]")
+        & (F.length(line) <= MAX_HEADING_CHARACTERS)
         & (line == F.upper(line))
         & (line != F.lower(line))
         & line.rlike(r"\p{L}")
@@ -116,6 +120,11 @@ def is_heading(line: Column) -> Column:
     )
 
 
+def may_hold_heading(text: Column) -> Column:
+    """False only for texts without any heading line; one look at the whole text."""
+    return text.rlike(f"(?m)^[^a-z\\n]{{1,{MAX_HEADING_CHARACTERS}}}$")
+
+
 def excerpt(col: Column, most: int = 300) -> Column:
     return F.substring(col, 1, most)
 

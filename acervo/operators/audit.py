@@ -58,9 +58,10 @@ def scan_contacts(
             lambda m: F.struct(F.lit(name).alias("kind"), tx.strip_trailing_punct(m).alias("value")),
         )
 
+    # The outer form keeps the optimizer from repeating the search as a filter below it.
     found = pages.select(
         F.col(subject),
-        F.explode(F.concat(kind("email", EMAIL_PATTERN), kind("phone", phone_pattern), kind("url", URL_PATTERN))).alias("m"),
+        F.explode_outer(F.concat(kind("email", EMAIL_PATTERN), kind("phone", phone_pattern), kind("url", URL_PATTERN))).alias("m"),
     ).select(subject, "m.*")
     host = F.try_parse_url("value", F.lit("HOST"))
 
@@ -72,7 +73,7 @@ def scan_contacts(
         .when(F.col("kind") == "phone", tx.trimmed(F.col("value")).rlike(allowed_phone))
         .otherwise(F.coalesce(within(F.lower(host)) | F.lower(host).isin(*allow_hosts), F.lit(False)))
     )
-    return found.where(~allowed).select(*violation("contact", F.col(subject), F.concat_ws(":", "kind", "value")))
+    return found.where(F.col("value").isNotNull() & ~allowed).select(*violation("contact", F.col(subject), F.concat_ws(":", "kind", "value")))
 
 
 def _repeated(df: DataFrame, check: str, col: str) -> DataFrame:

@@ -98,7 +98,7 @@ def normalize_pages(versions: DataFrame) -> DataFrame:
     settled = versions.withColumn(
         "pages",
         F.transform(
-            F.array_sort(F.col("pages").cast(PAGES_TYPE)),
+            F.sort_array(F.col("pages").cast(PAGES_TYPE)),
             lambda p: F.struct(p.page.alias("page"), tx.settle_text(p.text).alias("text")),
         ),
     ).withColumn("_composable", composable)
@@ -168,14 +168,14 @@ def assign_sections(versions: DataFrame) -> DataFrame:
     The section is null before the first heading of a page and starts anew on
     each page. Pages without any heading, the common case, are one section.
     """
-    headed = F.exists("pages", lambda p: F.exists(F.split(p.text, "\n"), tx.is_heading))
-    plain = F.transform(
-        "pages",
-        lambda p: F.struct(
-            p.page.alias("page"), F.lit(None).cast("string").alias("section"), p.text.alias("text")
-        ),
-    )
-    sections = F.when(headed, F.flatten(F.transform("pages", _page_sections))).otherwise(plain)
+
+    def of_page(page: Column) -> Column:
+        whole = F.struct(
+            page.page.alias("page"), F.lit(None).cast("string").alias("section"), page.text.alias("text")
+        )
+        return F.when(tx.may_hold_heading(page.text), _page_sections(page)).otherwise(F.array(whole))
+
+    sections = F.flatten(F.transform("pages", of_page))
     return versions.withColumn("sections", sections).withColumn(
         "sections", F.filter("sections", lambda s: s.text != "")
     )
@@ -243,7 +243,7 @@ def nest_pages(pages: DataFrame, max_bytes: int = 25 * 1024 * 1024) -> tuple[Dat
     nested = (
         pages.join(large, "version_id", "left_anti")
         .groupBy("document_id", "version_id", "document_title", "academic_year")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("page").cast("int").alias("page"), "text"))).alias("pages"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.col("page").cast("int").alias("page"), "text"))).alias("pages"))
     )
     return nested, large.select("version_id", "bytes", F.lit("PDF_TOO_LARGE").alias("error_code"))
 

@@ -25,10 +25,15 @@ class Ingested:
     ledger: DataFrame  # one row per request
 
 
+def checked_files(files: DataFrame) -> DataFrame:
+    """Files (path, length, content) with the code of the rule they break, if any."""
+    return fs.check_signature(fs.accept_files(files))
+
+
 def admit(requests: DataFrame, files: DataFrame, ledger: DataFrame, versions: DataFrame) -> DataFrame:
     """Requests joined to their file's hash and classified; no file content in the result."""
     checked = validation.validate_requests(requests)
-    hashed = fs.hash_content(fs.check_signature(files)).select(
+    hashed = fs.hash_content(checked_files(files)).select(
         "path", "content_hash", F.col("error_code").alias("file_error")
     )
     joined = checked.join(hashed, "path", "left").withColumn(
@@ -77,7 +82,7 @@ def ingest(
     c = F.col
     admitted = cut_lineage(admit(requests, files, ledger, versions))
     work = admitted.where((c("outcome") == "new") & (c("ownership") == "index"))
-    accepted = fs.check_signature(files).select("path", "content", "error_code")
+    accepted = checked_files(files).select("path", "content", "error_code")
     pages = fs.extract_pages(accepted.join(work.select("path"), "path", "left_semi"), loader)
     texts = work.select(
         "path", "job_id", "document_id", "version_id", c("title").alias("document_title"), "academic_year",

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from acervo.session import use_state_store
@@ -17,9 +16,9 @@ TRANSITION_SCHEMA = (
 )
 
 
-def _in_order(rows, order: str) -> pd.DataFrame:
+def _in_order(rows, order: str) -> list[Row]:
     """All rows of a key in this trigger, in order (a trigger is bounded by its file limit)."""
-    return pd.concat(list(rows)).sort_values(order, kind="stable")
+    return sorted(rows, key=lambda row: row[order])
 
 
 class Admission(StatefulProcessor):
@@ -30,8 +29,7 @@ class Admission(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         known = self.first.get()
-        out = []
-        for row in _in_order(rows, "seq").itertuples(index=False):
+        for row in _in_order(rows, "seq"):
             if known is None:
                 known = (row.request_hash, row.job_id)
                 self.first.update(known)
@@ -39,13 +37,14 @@ class Admission(StatefulProcessor):
             else:
                 outcome = "replay" if known[0] == row.request_hash else "conflict"
             clash = outcome == "conflict"
-            out.append(
-                (key[0], row.seq, row.request_hash, outcome, None if clash else known[1],
-                 "IDEMPOTENCY_CONFLICT" if clash else None)
+            yield Row(
+                idempotency_key=key[0],
+                seq=row.seq,
+                request_hash=row.request_hash,
+                outcome=outcome,
+                job_id=None if clash else known[1],
+                error_code="IDEMPOTENCY_CONFLICT" if clash else None,
             )
-        yield pd.DataFrame(
-            out, columns=["idempotency_key", "seq", "request_hash", "outcome", "job_id", "error_code"]
-        )
 
     def close(self) -> None:
         pass
@@ -54,7 +53,7 @@ class Admission(StatefulProcessor):
 def admit_stream(requests: DataFrame) -> DataFrame:
     """Admission outcomes for a stream of idempotency_key, seq, request_hash, job_id."""
     use_state_store(requests.sparkSession)
-    return requests.groupBy("idempotency_key").transformWithStateInPandas(
+    return requests.groupBy("idempotency_key").transformWithState(
         statefulProcessor=Admission(), outputStructType=ADMISSION_SCHEMA, outputMode="Append", timeMode="None"
     )
 
@@ -92,29 +91,36 @@ class Lifecycle(StatefulProcessor):
         self.active = handle.getValueState("active", "version_id string")
 
     def handleInputRows(self, key, rows, timerValues):
-        out = []
-        for row in _in_order(rows, "pos").itertuples(index=False):
-            version = (row.version_id,)
-            before = self.states.getValue(version)[0] if self.states.containsKey(version) else "NONE"
+        live = self.active.get()
+        live = live[0] if live is not None else None
+        states, changed, was = {}, {}, live
+        for row in _in_order(rows, "pos"):
+            version = row.version_id
+            if version not in states:
+                kept = self.states.getValue((version,)) if self.states.containsKey((version,)) else None
+                states[version] = kept[0] if kept is not None else "NONE"
+            before, purge = states[version], None
             after, outcome = next_state(row.command, before)
-            purge = None
             if outcome == "accepted":
                 if after == "ACTIVE":
-                    live = self.active.get()
                     if live is not None:
-                        self.states.updateValue((live[0],), ("ARCHIVED",))
-                        purge = live[0]
-                    self.active.update(version)
+                        states[live] = changed[live] = "ARCHIVED"
+                        purge = live
+                    live = version
                 elif after == "ARCHIVED":
-                    purge = row.version_id
-                    if before == "ACTIVE":
-                        self.active.clear()
-                self.states.updateValue(version, (after,))
-            out.append((key[0], row.version_id, row.pos, row.command, before, outcome, purge))
-        yield pd.DataFrame(
-            out,
-            columns=["document_id", "version_id", "pos", "command", "before", "outcome", "purge_version_id"],
-        )
+                    purge = version
+                    live = None if before == "ACTIVE" else live
+                states[version] = changed[version] = after
+            yield Row(
+                document_id=key[0], version_id=version, pos=row.pos, command=row.command,
+                before=before, outcome=outcome, purge_version_id=purge,
+            )
+        for version, state in changed.items():
+            self.states.updateValue((version,), (state,))
+        if live is None and was is not None:
+            self.active.clear()
+        elif live != was:
+            self.active.update((live,))
 
     def close(self) -> None:
         pass
@@ -126,6 +132,6 @@ def lifecycle_stream(commands: DataFrame) -> DataFrame:
     Keyed by document, so a version must always be named with its own document.
     """
     use_state_store(commands.sparkSession)
-    return commands.groupBy("document_id").transformWithStateInPandas(
+    return commands.groupBy("document_id").transformWithState(
         statefulProcessor=Lifecycle(), outputStructType=TRANSITION_SCHEMA, outputMode="Append", timeMode="None"
     )
