@@ -132,9 +132,8 @@ def score_filter(hits: DataFrame, threshold: float = 0.35) -> DataFrame:
     return hits.where(F.col("score") >= threshold)
 
 
-def decision_fields(raw: Column) -> dict[str, Column]:
-    """Typed fields of a raw model reply; each is null unless it has the right JSON type."""
-    value = parse_model_json(raw)
+def decision_fields(value: Column) -> dict[str, Column]:
+    """Typed fields of a parsed model reply; each is null unless it has the right JSON type."""
     cited = F.try_variant_get(value, "$.citedChunkIds", "variant")
     answer = F.try_variant_get(value, "$.answer", "variant")
     status = F.try_variant_get(value, "$.status", "variant")
@@ -152,8 +151,9 @@ def validate_decisions(decisions: DataFrame) -> DataFrame:
     found needs an answer and at least one citation, all of them retrieved;
     the other statuses need a null answer and no citation.
     """
-    fields = decision_fields(F.col("raw"))
-    typed = decisions.select("*", *[col.alias(f"_{name}") for name, col in fields.items()])
+    fields = decision_fields(F.col("_value"))
+    parsed = decisions.withColumn("_value", parse_model_json(F.col("raw")))
+    typed = parsed.select(*decisions.columns, *[col.alias(f"_{name}") for name, col in fields.items()])
     none_unknown = F.size(F.array_except("_cited", F.coalesce("retrieved", F.array().cast("array<string>")))) == 0
     found = (F.col("_status") == "found") & (F.col("_answer") != "") & (F.size("_cited") >= 1) & none_unknown
     other = F.col("_status").isin("not_found", "ambiguous") & F.col("_answer_is_null") & (F.size("_cited") == 0)

@@ -76,14 +76,15 @@ def ingest(
 
     Each document fails alone: a file that cannot be read, holds too little
     text or cannot be embedded gives a FAILED version and no points, and the
-    others go on. Admissions and embedded chunks are written to the shared
-    checkpoint folder once, since versions, points and ledger all read them.
+    others go on. Admissions, extracted pages and embedded chunks are written
+    to the shared checkpoint folder once, since versions, points and ledger all
+    read them and neither loader nor model should run twice.
     """
     c = F.col
     admitted = cut_lineage(admit(requests, files, ledger, versions))
     work = admitted.where((c("outcome") == "new") & (c("ownership") == "index"))
     accepted = checked_files(files).select("path", "content", "error_code")
-    pages = fs.extract_pages(accepted.join(work.select("path"), "path", "left_semi"), loader)
+    pages = cut_lineage(fs.extract_pages(accepted.join(work.select("path"), "path", "left_semi"), loader))
     texts = work.select(
         "path", "job_id", "document_id", "version_id", c("title").alias("document_title"), "academic_year",
         c("content_hash").alias("file_hash"),

@@ -48,8 +48,11 @@ def use_state_store(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a result to the shared checkpoint folder and go on from there."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark, "lineage"))
-    return df.checkpoint()
+    """Write a result to the shared folder as a table and go on from there.
+
+    A written table outlives lost executors, is computed once however many
+    branches read it, and each branch reads only the columns it needs.
+    """
+    path = shared_dir(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
