@@ -36,9 +36,14 @@ def admit(requests: DataFrame, files: DataFrame, ledger: DataFrame, versions: Da
     hashed = fs.hash_content(checked_files(files)).select(
         "path", "content_hash", F.col("error_code").alias("file_error")
     )
-    joined = checked.join(hashed, "path", "left").withColumn(
-        "error_code",
-        F.coalesce("error_code", "file_error", F.when(F.col("content_hash").isNull(), F.lit("PDF_REQUIRED"))),
+    # Accepted and rejected rows part below; written first, so that files are hashed once.
+    joined = cut_lineage(
+        checked.join(hashed, "path", "left")
+        .withColumn(
+            "error_code",
+            F.coalesce("error_code", "file_error", F.when(F.col("content_hash").isNull(), F.lit("PDF_REQUIRED"))),
+        )
+        .drop("file_error")
     )
     valid = joined.where(F.col("error_code").isNull()).withColumn(
         "request_hash",
