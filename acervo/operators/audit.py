@@ -34,6 +34,12 @@ def violation(check: str, subject: Column, detail: Column | None = None) -> list
     ]
 
 
+def failing(df: DataFrame, *rules: tuple[str, Column, Column, Column | None]) -> DataFrame:
+    """Violations of several row rules (check, condition, subject, detail) in one pass."""
+    found = [F.when(broken, F.struct(*violation(check, subject, detail))) for check, broken, subject, detail in rules]
+    return df.select(F.explode(F.array(*found)).alias("v")).where(F.col("v").isNotNull()).select("v.*")
+
+
 def unite(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -76,9 +82,16 @@ def scan_contacts(
     return found.where(F.col("value").isNotNull() & ~allowed).select(*violation("contact", F.col(subject), F.concat_ws(":", "kind", "value")))
 
 
-def _repeated(df: DataFrame, check: str, col: str) -> DataFrame:
-    repeated = df.groupBy(col).agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    return repeated.select(*violation(check, F.col(col), F.col("n")))
+def repeated_values(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Values that occur more than once in a column that must be unique; one shuffle for all columns."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
+    counts = df.select(F.explode(pairs).alias("p")).groupBy("p.column", "p.value").agg(F.count("*").alias("n"))
+    repeated = counts.where(F.col("n") > 1)
+    return repeated.select(
+        F.concat(F.lit("duplicate_"), "column").alias("check"),
+        F.col("value").alias("subject"),
+        F.col("n").cast("string").alias("detail"),
+    )
 
 
 def repeated_sources(versions: DataFrame) -> DataFrame:
@@ -127,28 +140,24 @@ def validate_manifest(
                 *violation("document_count", c("n"))
             ),
             multi.where(c("n") != expected_multi_version).select(*violation("multi_version_documents", c("n"))),
-            _repeated(versions, "duplicate_version_id", "version_id"),
-            _repeated(versions, "duplicate_file", "file"),
-            _repeated(versions, "duplicate_idempotency_key", "idempotency_key"),
+            repeated_values(versions, ["version_id", "file", "idempotency_key"]),
             repeated_sources(versions),
             versions.where(~F.coalesce(c("idempotency_key").rlike(IDEMPOTENCY_KEY), F.lit(False))).select(
                 *violation("invalid_idempotency_key", c("version_id"), c("idempotency_key"))
             ),
-            checked.where(c("known").isNull()).select(*violation("replacement_document", c("document_id"))),
-            checked.where(c("previous_known").isNull()).select(
-                *violation("replacement_previous", c("previous_version_id"))
-            ),
-            checked.where(c("current_known").isNull()).select(*violation("replacement_current", c("current_version_id"))),
-            checked.where(c("previous_version_id") == c("current_version_id")).select(
-                *violation("replacement_same_version", c("current_version_id"))
-            ),
-            checked.where(~c("current_activates")).select(
-                *violation("replacement_not_active", c("current_version_id"))
+            failing(
+                checked,
+                ("replacement_document", c("known").isNull(), c("document_id"), None),
+                ("replacement_previous", c("previous_known").isNull(), c("previous_version_id"), None),
+                ("replacement_current", c("current_known").isNull(), c("current_version_id"), None),
+                ("replacement_same_version", c("previous_version_id") == c("current_version_id"), c("current_version_id"), None),
+                ("replacement_not_active", ~c("current_activates"), c("current_version_id"), None),
             ),
             conflicts.agg(F.count("*").alias("n")).where(c("n") == 0).select(*violation("no_conflict", F.lit(None))),
-            claims.where(c("n") != 2).select(*violation("conflict_claims", c("conflict_id"), c("n"))),
-            claims.where((c("n") == 2) & (c("least") == c("most"))).select(
-                *violation("conflict_same_document", c("conflict_id"))
+            failing(
+                claims,
+                ("conflict_claims", c("n") != 2, c("conflict_id"), c("n")),
+                ("conflict_same_document", (c("n") == 2) & (c("least") == c("most")), c("conflict_id"), None),
             ),
             conflicts.join(documents.select("document_id"), "document_id", "left_anti").select(
                 *violation("conflict_unknown_document", c("conflict_id"), c("document_id"))
@@ -164,13 +173,12 @@ def validate_source_consistency(sources: DataFrame, expected: DataFrame) -> Data
     table of the flattened manifest.
     """
     joined = sources.join(expected, "source")
-    return unite(
-        [
-            joined.where(~F.col(f"institution.{n}").eqNullSafe(F.col(f"expected_{n}"))).select(
-                *violation(f"institution_{n}", F.col("source"), F.col(f"institution.{n}"))
-            )
+    return failing(
+        joined,
+        *[
+            (f"institution_{n}", ~F.col(f"institution.{n}").eqNullSafe(F.col(f"expected_{n}")), F.col("source"), F.col(f"institution.{n}"))
             for n in ("name", "email", "phone")
-        ]
+        ],
     )
 
 
@@ -183,22 +191,16 @@ def validate_eval_set(questions: DataFrame, documents: DataFrame, least: dict[st
     empty = (F.size("expected_document_ids") == 0) & (F.size("expected_pages") == 0)
     return unite(
         [
-            questions.where(~F.coalesce(c("expected_status").isin(*ANSWER_STATUSES), F.lit(False))).select(
-                *violation("status", c("question_id"), c("expected_status"))
+            failing(
+                questions,
+                ("status", ~F.coalesce(c("expected_status").isin(*ANSWER_STATUSES), F.lit(False)), c("question_id"), c("expected_status")),
+                ("page_number", answerable & F.exists("expected_pages", lambda p: p < 1), c("question_id"), None),
+                ("not_found_with_documents", (c("expected_status") == "not_found") & ~empty, c("question_id"), None),
             ),
-            *[
-                counts.where(c(s) < n).select(*violation("too_few_questions", F.lit(s), c(s)))
-                for s, n in least.items()
-            ],
+            failing(counts, *[("too_few_questions", c(s) < n, F.lit(s), c(s)) for s, n in least.items()]),
             named.join(documents.select("document_id"), "document_id", "left_anti").select(
                 *violation("unknown_document", c("question_id"), c("document_id"))
             ),
-            questions.where(answerable & F.exists("expected_pages", lambda p: p < 1)).select(
-                *violation("page_number", c("question_id"))
-            ),
-            questions.where((c("expected_status") == "not_found") & ~empty).select(
-                *violation("not_found_with_documents", c("question_id"))
-            ),
             questions.where((tx.nfc(c("question")) != c("question")) | c("question").rlike(r"\p{C}")).select(
                 *violation("question_text", c("question_id"))
             ),

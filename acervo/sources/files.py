@@ -37,11 +37,15 @@ def form_feed_pages(content: bytes) -> Iterable[tuple[int, str]]:
 def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES, ext: str = ".pdf") -> DataFrame:
     """Files below ``path`` with ``error_code`` set on those that break a rule.
 
-    Extension and size are tested on the listing columns, so the reader does
-    not load the content of files that fail.
+    The size limit is a filter on the listing, so files above it are never
+    opened; they come from a second listing that does not read content.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return accept_files(files, max_bytes, ext)
+    small = files.where(F.col("length") <= max_bytes)
+    large = files.where(F.col("length") > max_bytes).select(
+        "path", "modificationTime", "length", F.lit(None).cast("binary").alias("content")
+    )
+    return accept_files(small.unionByName(large), max_bytes, ext)
 
 
 def file_error(max_bytes: int = MAX_FILE_BYTES, ext: str = ".pdf") -> Column:

@@ -80,6 +80,16 @@ def write_snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def save_bucketed(df: DataFrame, table: str, buckets: int, path: str, key: str = "version_id") -> DataFrame:
+    """Save a table bucketed and sorted by its version.
+
+    Points and versions saved with the same number of buckets meet in scope,
+    purge and delete joins without moving the points.
+    """
+    df.write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def with_bucket(points: DataFrame, buckets: int) -> DataFrame:
     """A version bucket to partition the points table by (all points of a version share one)."""
     return points.withColumn("bucket", F.pmod(F.xxhash64("version_id"), F.lit(buckets)).cast("int"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from acervo.functions import fields, ids
 from acervo.operators import admission, answering, diagnostics, evaluation
+from acervo.operators.retrieval import search_scope
 from acervo.sources import corpus_json, ledger, snapshots
 from acervo.sources import files as fs
 
@@ -90,6 +91,24 @@ def test_point_snapshots(spark, tmp_path):
     assert texts["p1"] == "again" and set(texts) >= {"p1"}
 
 
+def test_bucketed_tables_join_without_moving_points(spark, tmp_path):
+    points = spark.range(1000).select(F.col("id").alias("point_id"), F.concat(F.lit("v"), (F.col("id") % 50).cast("string")).alias("version_id"))
+    versions = points.select("version_id").distinct().where("version_id < 'v3'")
+    p = snapshots.save_bucketed(points, "bucketed_points", 4, str(tmp_path / "p"))
+    v = snapshots.save_bucketed(versions, "bucketed_versions", 4, str(tmp_path / "v"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scoped = search_scope(p, v)
+        plan = scoped._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        assert scoped.count() == points.where("version_id < 'v3'").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE bucketed_points")
+        spark.sql("DROP TABLE bucketed_versions")
+
+
 def test_vector_schema_is_enforced(spark):
     points = spark.createDataFrame([("p1", [1.0, 2.0]), ("p2", [1.0])], "point_id string, vector array<float>")
     assert [r.point_id for r in snapshots.vector_schema_violations(points, 2).collect()] == ["p2"]
