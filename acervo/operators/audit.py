@@ -69,7 +69,7 @@ def scan_contacts(
         F.col(subject),
         F.explode_outer(F.concat(kind("email", EMAIL_PATTERN), kind("phone", phone_pattern), kind("url", URL_PATTERN))).alias("m"),
     ).select(subject, "m.*")
-    host = F.try_parse_url("value", F.lit("HOST"))
+    host = F.lower(F.regexp_extract("value", r"\Ahttps?://([a-zA-Z0-9.-]+)", 1))
 
     def within(col: Column) -> Column:
         return reduce(lambda a, b: a | b, [col.endswith(d) for d in allow_domains], F.lit(False))
@@ -77,7 +77,7 @@ def scan_contacts(
     allowed = (
         F.when(F.col("kind") == "email", within(F.col("value")))
         .when(F.col("kind") == "phone", tx.trimmed(F.col("value")).rlike(allowed_phone))
-        .otherwise(F.coalesce(within(F.lower(host)) | F.lower(host).isin(*allow_hosts), F.lit(False)))
+        .otherwise(within(host) | host.isin(*allow_hosts))
     )
     return found.where(F.col("value").isNotNull() & ~allowed).select(*violation("contact", F.col(subject), F.concat_ws(":", "kind", "value")))
 

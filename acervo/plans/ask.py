@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from acervo.functions.vectors import Embedder
 from acervo.operators import answering, lifecycle, models, retrieval, validation
+from acervo.session import cut_lineage
 
 ANSWER_COLUMNS = ("question_id", "question", "status", "answer", "citations", "retrieved", "error_code")
 
 
 def embed_questions(questions: DataFrame, embedder: Callable[[], Embedder], dims: int | None = None) -> DataFrame:
-    return models.embed_documents(questions, embedder, text_column="question", dims=dims)
+    """Questions with their vectors, written once: both the search and the answers read them."""
+    return cut_lineage(models.embed_documents(questions, embedder, text_column="question", dims=dims))
 
 
 def _answers(questions: DataFrame, hits: DataFrame, decider) -> DataFrame:
