@@ -39,9 +39,11 @@ STOP_WORDS = (
 
 _NOISE = r"[\p{Cc}\p{Cf}&&[^\p{IsWhite_Space}]]"
 _HORIZONTAL = r"[\p{IsWhite_Space}&&[^\n]]+"
-# A string without any of these is already in normal line structure.
+# What keeps a string from normal line structure, apart from white space at its
+# start: noise, white space other than space and line feed, runs, and ends.
 _UNSETTLED = (
-    r"[\p{Cc}\p{Cf}\p{IsWhite_Space}&&[^ \n]]|  | \n|\n |\n\n\n|\A[ \n]|[ \n]\z"
+    r"[\p{Cc}\p{Cf}\p{IsWhite_Space}]"
+    r"(?:(?<![ \n])|(?<= )(?=[ \n]|\z)|(?<=\n)(?= |\n\n|\z))"
 )
 # Every code point below U+0300 is stable under NFC.
 COMPOSABLE = r"[^\x{0}-\x{2FF}]"
@@ -75,7 +77,8 @@ def settle_text(col: Column) -> Column:
     step = F.regexp_replace(step, _HORIZONTAL, " ")
     step = F.regexp_replace(step, r" ?\n ?", "\n")
     step = F.regexp_replace(step, r"\n{3,}", "\n\n")
-    return F.when(col.rlike(_UNSETTLED), F.trim(step, F.lit(" \n"))).otherwise(col)
+    unsettled = col.startswith(" ") | col.startswith("\n") | col.rlike(_UNSETTLED)
+    return F.when(unsettled, F.trim(step, F.lit(" \n"))).otherwise(col)
 
 
 def normalize_text(col: Column) -> Column:
