@@ -29,7 +29,8 @@ class Admission(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         known = self.first.get()
-        for row in _in_order(rows, "seq"):
+        # Once the first request of a key is known, the others need no order.
+        for row in rows if known is not None else _in_order(rows, "seq"):
             if known is None:
                 known = (row.request_hash, row.job_id)
                 self.first.update(known)
