@@ -3,9 +3,11 @@
 A document's set holds the hashes of its distinct five-word shingles. Equal sets form one class, so that exact copies, however
 many, take part once. Each class is posted under every (coordinate, value) pair of its signature. Posts that no other class has
 go; of a class's other posts, the rarest ``live - MATCHES + 1`` are its prefix, as two classes with ``MATCHES`` collisions must
-share one of these. Within a posting list only pairs of classes in different components are looked at, first against a pivot
-per list (a number of pairs linear in the list), then, when few are left, all that are left. A candidate's collisions are
-counted on whole signatures, pairs with ``MATCHES`` or more are compared on full sets, and links join components.
+share one of these. In a posting list each class is first held against the list's least one, a number of pairs linear in the
+list. A candidate's collisions are counted on whole signatures, pairs with ``MATCHES`` or more are compared on full sets, and
+links join components. Lists of three or more that still hold two components then go through a second search for pairs across
+components only, by prefixes of the full sets with bounds from the places of shared shingles: within a large group of near
+copies it looks at no pair of one component, nor at those too far apart.
 
 A pair at the very threshold of 0.75 has 24 of 32 collisions on average; it has fewer than 12 once in about a million cases.
 
@@ -25,7 +27,6 @@ from acervo.llm.common import Batches, batch_of, hashed_words, id_text, ids, mix
 COORDINATES = 32
 MATCHES = 12
 THRESHOLD = 75
-PIVOT_ROUNDS = 6
 SKETCH = "doc_id bigint, n_shingles bigint, set_key binary, signature array<bigint>"
 SETS = "node bigint, signature array<bigint>, shingles binary"
 
@@ -133,36 +134,72 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def unresolved(posts: DataFrame, components: DataFrame) -> DataFrame:
+    """(node, component) of the classes in posting lists of three or more that still hold two components."""
+    held = posts.join(components, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
+    lists = held.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
+    return held.join(lists.filter("n > 2 and least < most"), "token").groupBy("node").agg(F.min("component").alias("component"))
+
+
+def set_prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The quarter of each set's shingles that the fewest of the given sets hold: (shingle, node, component, size, place).
+
+    A pair of sets as similar as asked for shares a shingle of both prefixes. Shingles of one set alone come first and are left out.
+    """
+    schema = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("component", pa.int64()), ("size", pa.int64())])
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for node, component, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(shingles, np.int64)
+                yield batch_of(schema, own, np.full(len(own), node), np.full(len(own), component), np.full(len(own), len(own)))
+
+    rows = staged(sets.join(members, "node").select("node", "component", "shingles").mapInArrow(run, "shingle bigint, node bigint, component bigint, size bigint"))
+    held = rows.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    live = rows.join(held, "shingle").groupBy("node").agg(
+        F.min("component").alias("component"), F.min("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("live")
+    )
+    alone = F.col("size") - F.size("live")
+    taken = F.col("size") - F.ceil(F.col("size") * THRESHOLD / 100) + 1 - alone
+    cut = live.select("node", "component", "size", alone.alias("alone"), F.posexplode(F.slice("live", F.lit(1), F.greatest(taken, F.lit(0)).cast("int"))).alias("at", "post"))
+    return cut.select(F.col("post.shingle").alias("shingle"), "node", "component", "size", (F.col("alone") + F.col("at")).alias("place"))
+
+
+def across_components(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components among the given classes whose prefixes allow the similarity asked for.
+
+    A shingle at places p and q of two sets whose earlier ones are not shared leaves them ``min(|x| - p, |y| - q)`` to share. A set
+    that could not reach the similarity even with the least set listed under a shingle is skipped there, so that a frequent shingle
+    of one large component costs no pairs.
+    """
+    posts = staged(set_prefixes(members, sets))
+    whole = 100 + THRESHOLD
+    enough = f"{whole} * (size - place) >= {THRESHOLD} * (size + least_size)"
+    least = posts.groupBy("shingle").agg(F.min("size").alias("least_size"))
+    able = posts.join(least, "shingle").filter(enough).drop("least_size")
+    mixed_lists = able.groupBy("shingle").agg(F.min("component").alias("first"), F.max("component").alias("last")).filter("first < last").select("shingle")
+    left = able.join(mixed_lists, "shingle", "left_semi")
+    right = left.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "size", "place")))
+    reach = f"{whole} * least(size - place, size_b - place_b) >= {THRESHOLD} * (size + size_b)"
+    return left.join(right, "shingle").filter(f"node < node_b and component <> component_b and {reach}").select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+
+
 def linked_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component) of the classes that have a link to another class."""
-    spark = docs.sparkSession
     posts = staged(prefix_posts(nodes))
     sets = staged(full_sets(docs, posts))
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    seen = links
-    components = spark.createDataFrame([], "node bigint, component bigint")
-    for turn in range(PIVOT_ROUNDS + 1):
-        held = posts.join(components, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
-        if turn:
-            sizes = held.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-            left = sizes.filter("squares < n * n").agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2), F.sum("n")).first()
-            if not left[0]:
-                break
-        last = turn == PIVOT_ROUNDS or (turn and left[0] <= 2 * left[1])
-        if last:
-            other = held.select("token", F.col("node").alias("node_b"), F.col("component").alias("component_b"))
-            found = held.join(other, "token").filter("component <> component_b and node < node_b").select(F.col("node").alias("a"), F.col("node_b").alias("b"))
-        else:
-            order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
-            pivot = held.groupBy("token").agg(F.min(F.struct(order.alias("order"), "node", "component")).alias("pivot"))
-            found = held.join(pivot, "token").filter("component <> pivot.component").select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
-        pairs = staged(found.distinct().join(seen, ["a", "b"], "left_anti"))
-        new = staged(confirmed(pairs, sets))
-        seen, links = seen.union(pairs), links.union(new)
-        components = smallest_reachable(links)
-        if last:
-            break
-    return components
+    pivot = posts.groupBy("token").agg(F.min("node").alias("a"))
+    first = staged(posts.join(pivot, "token").filter("a < node").select("a", F.col("node").alias("b")).distinct())
+    links = staged(confirmed(first, sets))
+    components = smallest_reachable(links)
+    members = staged(unresolved(posts, components))
+    more = staged(confirmed(staged(across_components(members, sets).distinct()), sets))
+    # Links of the second search join whole components: each stands by its least member.
+    label = components.select(F.col("node").alias("a"), F.col("component").alias("to"))
+    ends = more.join(label, "a", "left").select(F.coalesce("to", "a").alias("a"), "b").join(label.withColumnRenamed("a", "b"), "b", "left").select("a", F.coalesce("to", "b").alias("b"))
+    merged = smallest_reachable(ends.filter("a <> b")).select(F.col("node").alias("component"), F.col("component").alias("least"))
+    every = components.union(merged.select(F.col("component").alias("node"), "component")).dropDuplicates(["node"])
+    return every.join(merged, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
