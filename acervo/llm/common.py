@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyspark
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acervo.session import cut_lineage
@@ -58,6 +62,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Shared:
+    """A broadcast value that a worker process loads once, so that caches inside it live on from task to task.
+
+    It travels pickled by value, classes included: workers need no copy of the package.
+    """
+
+    def __init__(self, spark: SparkSession, value):
+        self.key, self.pickled = uuid.uuid4().hex, spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        held = pyspark.__dict__.setdefault("_shared_values", {})
+        if self.key not in held:
+            if len(held) >= 4:
+                held.clear()
+            held[self.key] = cloudpickle.loads(self.pickled.value)
+        return held[self.key]
+
+
 class Bounded(dict):
     """A worker's cache: computes what is missing, and starts anew when it holds too much."""
 
@@ -110,6 +133,30 @@ def code_points(text: bytes, offsets: list[int]) -> list[int]:
     return before[offsets].tolist()
 
 
+class Cover:
+    """Stretches that spans cover, in order; adding and asking take logarithmic search."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]] = ()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(spans):
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def overlaps(self, start: int, end: int) -> bool:
+        k = bisect.bisect_left(self.starts, end) - 1
+        return k >= 0 and self.ends[k] > start
+
+    def add(self, start: int, end: int) -> None:
+        """A span that overlaps none."""
+        k = bisect.bisect_left(self.starts, start)
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+
+
 def span_text(spans: list[tuple[int, int, str]], kinds: tuple[str, ...]) -> str:
     """``kind:start:end`` by start, then kind as listed, joined by commas."""
     order = {kind: k for k, kind in enumerate(kinds)}

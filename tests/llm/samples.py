@@ -35,7 +35,7 @@ def documents(spark, rows=None):
     rows = texts() if rows is None else rows
     data = [(k * 3 + 1, t, None if k % 5 else "en", f"src{k % 3}", len(t or ""), 0.5, k, "b") for k, t in enumerate(rows)]
     if rows:
-        data += [data[4], (None, rows[5], None, None, None, None, None, None)]
+        data += [data[min(4, len(data) - 1)], (None, rows[min(5, len(rows) - 1)], None, None, None, None, None, None)]
     return spark.createDataFrame(data, SCHEMA).repartition(3)
 
 
