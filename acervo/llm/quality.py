@@ -82,25 +82,30 @@ def follow(z: np.ndarray, n: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray
         n[at] += g * g
 
 
+def shard_changes(shared: Shared, turn: int):
+    """Goes through a shard's rows from a common state, and gives the changed coordinates."""
+    schema = pa.schema([("at", pa.int64()), ("z", pa.float64()), ("n", pa.float64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        z, n = (part.copy() for part in shared.value)
+        cache = Bounded(hashes_of)
+        order = np.argsort(mixed(np.array(table["doc_id"].to_pylist(), np.int64).view(np.uint64) + np.uint64(turn + 1)), kind="stable")
+        texts, labels = table["text"].cast(pa.binary()).to_pylist(), table["label"].to_pylist()
+        follow(z, n, [(*features(texts[k], cache), labels[k]) for k in order.tolist()])
+        dz, dn = z - shared.value[0], n - shared.value[1]
+        at = np.flatnonzero((dz != 0) | (dn != 0))
+        return pa.table([at, dz[at], dn[at]], schema=schema)
+
+    return run
+
+
 def train_weights(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS) -> np.ndarray:
     """Weights by coordinate."""
     train = training_rows(docs, labels, "quality", held_out(4, 2), max_labelled)
     train = staged(train.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SHARDS)).cast("int")))
-    schema = pa.schema([("at", pa.int64()), ("z", pa.float64()), ("n", pa.float64())])
     state = np.zeros((2, BUCKETS))
     for turn in range(rounds):
-        shared = Shared(docs.sparkSession, state)
-
-        def run(table: pa.Table, shared=shared, turn=turn) -> pa.Table:
-            z, n = (part.copy() for part in shared.value)
-            cache = Bounded(hashes_of)
-            order = np.argsort(mixed(np.array(table["doc_id"].to_pylist(), np.int64).view(np.uint64) + np.uint64(turn + 1)), kind="stable")
-            texts, labels = table["text"].cast(pa.binary()).to_pylist(), table["label"].to_pylist()
-            follow(z, n, [(*features(texts[k], cache), labels[k]) for k in order.tolist()])
-            dz, dn = z - shared.value[0], n - shared.value[1]
-            at = np.flatnonzero((dz != 0) | (dn != 0))
-            return pa.table([at, dz[at], dn[at]], schema=schema)
-
+        run = shard_changes(Shared(docs.sparkSession, state), turn)
         changes = train.groupBy("shard").applyInArrow(run, "at bigint, z double, n double").groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toPandas()
         state = state.copy()
         state[:, changes["at"].to_numpy(np.int64)] += changes[["z", "n"]].to_numpy(float).T / SHARDS
