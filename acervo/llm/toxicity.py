@@ -1,13 +1,14 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
 Learned from labelled documents: each token's log-odds of toxic against clean documents under a Dirichlet prior, with its
-z-score; tokens of ``|z| < MIN_Z`` score 0 besides the drift that every token pays. A linear scan finds all maximal segments of
-positive score in a text. The best segment's score, less what its text's length alone would give, is calibrated by a Gumbel
-(extreme-value) law fitted to clean documents; the log of its tail probability and the number of significant segments give the
-document's score by a logistic curve.
+z-score; tokens of ``|z| < MIN_Z`` score 0 besides the drift that every token pays, the others their log-odds less some standard
+errors. A word that isn't telling itself counts by its beginning, if that is. A linear scan finds all maximal segments of positive
+score in a text. The best segment's score, less what its text's length alone would give, is calibrated by a Gumbel
+(extreme-value) law fitted to clean documents; the log of its tail probability and the segment's score give the document's score
+by a logistic curve.
 
 Only training rows teach: at most ``max_labelled`` of them, chosen by a hash of doc_id, so that what is held in memory at once
-has a fixed bound. The model holds at most ``max_tokens`` tokens, the most telling first.
+has a fixed bound; equal texts of one label teach once. The model holds at most ``max_tokens`` tokens, the most telling first.
 
 Defined cases: a null or empty text has no segment and gets the score of such a text. A row without doc_id is scored like any
 other. Labels that are null teach nothing; without a toxic or without a clean training row every document scores 0.
@@ -25,14 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acervo.llm.common import Batches, Shared, batch_of, bound_batches, id_text, ids, raw_texts, staged
+from acervo.llm.common import Batches, Bounded, Shared, batch_of, bound_batches, id_text, ids, raw_texts, staged
 
 MAX_LABELLED = 20_000
 MAX_TOKENS = 50_000
 MIN_Z = 2.0
-PRIOR = 0.5  # the Dirichlet prior's weight per token, spread as the token is over both classes
-DRIFT = 0.25
+PRIOR = 0.05  # weight of the Dirichlet prior against all counts; a token's part is its share of these
+DRIFT = 0.5
 SIGNIFICANT = 0.01
+STEMS = (7, 5, 3)  # bytes of a word's beginning that stand for it when the word itself tells nothing
+CAUTION = 1.5  # standard errors taken off a token's log-odds
 EDGE = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
@@ -90,13 +93,22 @@ def maximal_segments(positions: list[int], gains: list[float], drift: float) ->
     return [(first, last, right - left) for first, last, left, right, _ in found]
 
 
-def segments_of(text: bytes, scores: dict[bytes, float]) -> tuple[list[tuple[int, int, float]], int]:
+def stems(token: bytes) -> list[bytes]:
+    return [b"^" + token[:n] for n in STEMS if len(token) > n]
+
+
+def scorer(scores: dict[bytes, float]) -> Bounded:
+    """The score of a word by itself or its longest telling beginning; None for a word that tells nothing."""
+    return Bounded(lambda token: next((scores[t] for t in (token, *stems(token)) if t in scores), None))
+
+
+def segments_of(text: bytes, scores: Bounded) -> tuple[list[tuple[int, int, float]], int]:
     tokens = tokens_of(text)
-    hits = [(k, scores[t]) for k, t in enumerate(tokens) if t in scores]
+    hits = [(k, s) for k, s in enumerate(map(scores.__getitem__, tokens)) if s is not None]
     return maximal_segments([k for k, _ in hits], [s - DRIFT for _, s in hits], DRIFT) if hits else [], len(tokens)
 
 
-def best_segment(text: bytes, scores: dict[bytes, float]) -> tuple[float, int]:
+def best_segment(text: bytes, scores: Bounded) -> tuple[float, int]:
     found, n = segments_of(text, scores)
     return max((s for _, _, s in found), default=0.0), n
 
@@ -107,19 +119,19 @@ def tail(model: Model, score: float, n: int) -> float:
     return max(0.0, x if x > 30 else -math.log(-math.expm1(-math.exp(-x))) if x > -3 else 0.0)
 
 
-def features(model: Model, text: bytes) -> tuple[float, int]:
-    """Evidence of the best segment, and the number of significant segments."""
-    found, n = segments_of(text, model.scores)
-    evidence = [tail(model, s, n) for _, _, s in found]
-    return max(evidence, default=0.0), sum(e > -math.log(SIGNIFICANT) for e in evidence)
+def features(model: Model, scores: Bounded, text: bytes) -> tuple[float, float]:
+    """Evidence and score of the best segment."""
+    found, n = segments_of(text, scores)
+    best = max((s for _, _, s in found), default=0.0)
+    return (min(50.0, tail(model, best, n)), min(best, 50.0)) if found else (0.0, 0.0)
 
 
-def probability(model: Model, text: bytes) -> float:
+def probability(model: Model, scores: Bounded, text: bytes) -> float:
     if not model.trained:
         return 0.0
-    evidence, significant = features(model, text)
+    evidence, best = features(model, scores, text)
     a, b, c = model.weights
-    return 1 / (1 + math.exp(-max(-500.0, min(500.0, a + b * min(evidence, 50.0) + c * math.log1p(significant)))))
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, a + b * evidence + c * best))))
 
 
 def token_scores(train: DataFrame, max_tokens: int) -> dict[bytes, float]:
@@ -130,7 +142,8 @@ def token_scores(train: DataFrame, max_tokens: int) -> dict[bytes, float]:
         for batch in batches:
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for text, label in zip(raw_texts(batch), batch.column(2).to_pylist(), strict=True):
-                counts[label].update(set(tokens_of(text)))
+                words = set(tokens_of(text))
+                counts[label].update(words | {stem for word in words for stem in stems(word)})
             both = list(counts[0].keys() | counts[1].keys())
             yield batch_of(schema, both, [counts[1][t] for t in both], [counts[0][t] for t in both])
 
@@ -139,12 +152,13 @@ def token_scores(train: DataFrame, max_tokens: int) -> dict[bytes, float]:
     if not all_toxic or not all_clean:
         return {}
     total = all_toxic + all_clean
-    # The prior of a token: its share of all tokens, at a weight that gives PRIOR to a token seen as often as the rarest.
     prior = PRIOR * (F.col("toxic") + F.col("clean"))
     in_toxic, in_clean = F.col("toxic") + prior * all_toxic / total, F.col("clean") + prior * all_clean / total
     rest = PRIOR * total
     odds = F.log(in_toxic / (all_toxic + rest * all_toxic / total - in_toxic)) - F.log(in_clean / (all_clean + rest * all_clean / total - in_clean))
-    scored = counted.filter("toxic + clean > 1").select("token", odds.alias("score"), (odds / F.sqrt(1 / in_toxic + 1 / in_clean)).alias("z"))
+    error = F.sqrt(1 / in_toxic + 1 / in_clean)
+    sure = F.signum(odds) * (F.abs(odds) - CAUTION * error)
+    scored = counted.filter("toxic + clean > 1").select("token", sure.alias("score"), (odds / error).alias("z"))
     top = scored.filter(F.abs("z") >= MIN_Z).orderBy(F.abs("z").desc(), "token").limit(max_tokens)
     return {bytes(r.token): float(r.score) for r in top.collect()}
 
@@ -175,7 +189,7 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
 
 def train_model(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_tokens: int = MAX_TOKENS) -> Model:
     """Tokens from three quarters of the training rows, calibration from the fourth, which the tokens haven't seen."""
-    train = staged(training_rows(docs, labels, "toxic", held_out(5, 0), max_labelled))
+    train = staged(training_rows(docs, labels, "toxic", held_out(5, 0), max_labelled).dropDuplicates(["text", "label"]))
     fold = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 3
     scores = token_scores(train.filter(~fold), max_tokens)
     model = Model(scores)
@@ -184,23 +198,17 @@ def train_model(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
     schema = pa.schema([("best", pa.float64()), ("n", pa.int64()), ("label", pa.int32())])
 
     def measure(batches: Batches) -> Batches:
+        by_word = scorer(scores)
         for batch in batches:
-            pairs = [best_segment(text, scores) for text in raw_texts(batch)]
+            pairs = [best_segment(text, by_word) for text in raw_texts(batch)]
             yield batch_of(schema, [b for b, _ in pairs], [n for _, n in pairs], batch.column(2))
 
     rows = train.filter(fold).mapInArrow(measure, "best double, n bigint, label int").toPandas()
     clean = rows[rows.label == 0]
     model.location, model.scale, model.growth = gumbel(clean.best.to_numpy(), clean.n.to_numpy())
-    schema2 = pa.schema([("evidence", pa.float64()), ("significant", pa.float64()), ("label", pa.int32())])
-
-    def weigh(batches: Batches) -> Batches:
-        for batch in batches:
-            pairs = [features(model, text) for text in raw_texts(batch)]
-            yield batch_of(schema2, [min(e, 50.0) for e, _ in pairs], [math.log1p(k) for _, k in pairs], batch.column(2))
-
-    rows = train.filter(fold).mapInArrow(weigh, "evidence double, significant double, label int").toPandas()
     if rows.label.nunique() == 2:
-        a, b, c = logistic(rows[["evidence", "significant"]].to_numpy(), rows.label.to_numpy(float))
+        evidence = [tail(model, best, n) if best else 0.0 for best, n in zip(rows.best, rows.n, strict=True)]
+        a, b, c = logistic(np.minimum(np.column_stack([evidence, rows.best]), 50.0), rows.label.to_numpy(float))
         model.weights, model.trained = (float(a), float(b), float(c)), True
     return model
 
@@ -213,13 +221,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         model = shared.value
+        by_word = scorer(model.scores)
         for batch in batches:
             texts = raw_texts(batch)
             passages = []
             for text in texts:
-                found, n = segments_of(text, model.scores)
+                found, n = segments_of(text, by_word)
                 passages.append([{"first": f, "last": e, "score": s} for f, e, s in found if tail(model, s, n) > -math.log(SIGNIFICANT)])
-            yield batch_of(schema, ids(batch), [probability(model, t) for t in texts], passages)
+            yield batch_of(schema, ids(batch), [probability(model, by_word, t) for t in texts], passages)
 
     scored = id_text(docs).mapInArrow(run, "doc_id bigint, score double, passages array<struct<first: bigint, last: bigint, score: double>>")
     return scored.select(
@@ -238,8 +247,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     bound_batches(docs)
 
     def run(batches: Batches) -> Batches:
+        by_word = scorer(model.value.scores)
         for batch in batches:
-            keep = [probability(model.value, text or b"") < 0.5 for text in raw_texts(batch)]
+            keep = [probability(model.value, by_word, text or b"") < 0.5 for text in raw_texts(batch)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
