@@ -277,13 +277,14 @@ def _(t: Tables) -> DataFrame:
     return audit.validate_manifest(**manifest_tables(t), schema_tag="corpus/v1")
 
 
-# Sources are customers; what the manifest expects of them comes from their orders.
-INSTITUTIONS_SQL = """institutions AS (SELECT c_custkey, c_name AS name, c_mktsegment AS email, CAST(c_nationkey AS VARCHAR) AS phone,
+# Sources are customers; the manifest's entries are orders, of which those whose key is no customer's name a missing source.
+INSTITUTIONS_SQL = """institutions AS (SELECT o_orderkey AS source, c_custkey IS NOT NULL AS given, c_name AS name, c_mktsegment AS email, CAST(c_nationkey AS VARCHAR) AS phone,
   CASE WHEN o_orderstatus = 'P' THEN 'other' ELSE c_name END AS ename, CASE WHEN o_orderpriority = '1-URGENT' THEN NULL ELSE c_mktsegment END AS eemail,
   CAST(c_nationkey + CASE WHEN o_totalprice > 400000 THEN 1 ELSE 0 END AS VARCHAR) AS ephone
-  FROM customer JOIN orders ON o_orderkey = c_custkey)"""
+  FROM orders LEFT JOIN customer ON o_orderkey = c_custkey)"""
 INSTITUTIONS_AUDIT_SQL = " UNION ALL ".join(
-    _part(f"institution_{n}", "c_custkey", n, f"FROM institutions WHERE {n} IS DISTINCT FROM e{n}") for n in ("name", "email", "phone")
+    [_part("source_missing", "source", "NULL", "FROM institutions WHERE NOT given")]
+    + [_part(f"institution_{n}", "source", n, f"FROM institutions WHERE given AND {n} IS DISTINCT FROM e{n}") for n in ("name", "email", "phone")]
 )
 
 
@@ -291,8 +292,8 @@ def institutions(t: Tables) -> tuple[DataFrame, DataFrame]:
     c = F.col
     own = F.struct(c("c_name").alias("name"), c("c_mktsegment").alias("email"), c("c_nationkey").cast("string").alias("phone"))
     sources = t.customer.select(c("c_custkey").cast("string").alias("source"), own.alias("institution"))
-    expected = t.customer.join(t.orders, c("o_orderkey") == c("c_custkey")).select(
-        c("c_custkey").cast("string").alias("source"),
+    expected = t.orders.join(t.customer, c("o_orderkey") == c("c_custkey"), "left").select(
+        c("o_orderkey").cast("string").alias("source"),
         F.when(c("o_orderstatus") == "P", "other").otherwise(c("c_name")).alias("expected_name"),
         F.when(c("o_orderpriority") != "1-URGENT", c("c_mktsegment")).alias("expected_email"),
         (c("c_nationkey") + F.when(c("o_totalprice") > 400000, 1).otherwise(0)).cast("string").alias("expected_phone"),

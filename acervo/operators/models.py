@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import errno
 import json
+import socket
 import time
 from collections.abc import Callable, Sequence
 
@@ -37,14 +39,24 @@ Decider = Callable[[str, str], str]
 
 
 def transient(problem: BaseException | None, depth: int = 0) -> bool:
-    """Whether a failure of a model call is worth another attempt (looks one cause deep)."""
+    """Whether a failure of a model call is worth another attempt (looks one cause deep).
+
+    The kinds are those of TRANSIENT_CODES, by name, by a ``code``, or as Python raises them: connection and time-out
+    errors, failed name look-ups, and the same numbers in ``errno``; and HTTP statuses 429 and 5xx.
+    """
     if problem is None:
         return False
-    status = getattr(problem, "status", None) or getattr(problem, "status_code", None)
-    if type(problem).__name__ in TRANSIENT_NAMES or getattr(problem, "code", None) in TRANSIENT_CODES:
+    if isinstance(problem, (ConnectionError, TimeoutError, socket.gaierror)) or type(problem).__name__ in TRANSIENT_NAMES:
+        return True
+    if getattr(problem, "code", None) in TRANSIENT_CODES:
         return True
-    if isinstance(status, int) and (status == 429 or status >= 500):
+    if isinstance(problem, OSError) and errno.errorcode.get(problem.errno or 0) in TRANSIENT_CODES:
         return True
+    response = getattr(problem, "response", None)
+    for holder in (problem, response):
+        status = getattr(holder, "status", None) or getattr(holder, "status_code", None)
+        if isinstance(status, int) and (status == 429 or status >= 500):
+            return True
     return depth == 0 and transient(problem.__cause__, 1)
 
 
@@ -60,6 +72,23 @@ def with_retry(call: Callable, delays: Sequence[float] = RETRY_DELAYS, sleep=tim
     return call()
 
 
+def _vectors(model: Embedder, texts: list[str], dims: int | None) -> list[tuple[np.ndarray | None, str | None]]:
+    """A vector or an error for each text. A batch that the model refuses is tried text by text, so that one bad text fails alone;
+    one that fails for a passing reason even after the retries fails as a whole."""
+    failed = (None, "EMBEDDING_GENERATION_FAILED")
+    try:
+        matrix = np.asarray(with_retry(lambda: model(texts)), dtype=np.float32)
+        if matrix.ndim != 2 or len(matrix) != len(texts):
+            raise ValueError("one vector per text is needed")
+    except Exception as problem:
+        if len(texts) == 1 or transient(problem):
+            return [failed] * len(texts)
+        return [found for text in texts for found in _vectors(model, [text], dims)]
+    if dims is not None and matrix.shape[1] != dims:
+        return [(None, "VECTOR_DIMENSION_MISMATCH")] * len(texts)
+    return [(row, None) for row in matrix]
+
+
 def embed_documents(
     rows: DataFrame,
     embedder: Callable[[], Embedder],
@@ -70,8 +99,8 @@ def embed_documents(
     """Adds ``vector`` and ``embed_error`` to every row.
 
     ``embedder`` builds the model once per task. Texts go to it in batches of
-    ``batch_size``; a batch that fails, or gives vectors of another size than
-    ``dims``, becomes error rows and the rest of the data goes on.
+    ``batch_size``. A text that the model refuses, a null text, and a vector of
+    another size than ``dims`` become error rows; all others go on.
     """
     out_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
@@ -79,25 +108,14 @@ def embed_documents(
         model = embedder()
         for batch in batches:
             texts = batch.column(text_column).to_pylist()
-            vectors, errors = [], []
-            for start in range(0, len(texts), batch_size):
-                part = texts[start : start + batch_size]
-                try:
-                    matrix = np.asarray(with_retry(lambda: model(part)), dtype=np.float32)
-                    if matrix.ndim != 2 or len(matrix) != len(part):
-                        raise ValueError("one vector per text is needed")
-                except Exception:
-                    vectors += [None] * len(part)
-                    errors += ["EMBEDDING_GENERATION_FAILED"] * len(part)
-                    continue
-                if dims is not None and matrix.shape[1] != dims:
-                    vectors += [None] * len(part)
-                    errors += ["VECTOR_DIMENSION_MISMATCH"] * len(part)
-                    continue
-                vectors += list(matrix)
-                errors += [None] * len(part)
+            found = [(None, "EMBEDDING_GENERATION_FAILED")] * len(texts)
+            given = [k for k, text in enumerate(texts) if text is not None]
+            for start in range(0, len(given), batch_size):
+                part = given[start : start + batch_size]
+                for k, result in zip(part, _vectors(model, [texts[k] for k in part], dims)):
+                    found[k] = result
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())],
+                [*batch.columns, pa.array([v for v, _ in found], pa.list_(pa.float32())), pa.array([e for _, e in found], pa.string())],
                 names=[*batch.schema.names, "vector", "embed_error"],
             )
 
@@ -105,6 +123,7 @@ def embed_documents(
 
 
 def _replies(contexts: DataFrame, decider: Callable[[], Decider], prompt: str) -> DataFrame:
+    """Adds ``raw``, the model's reply, and ``outage``, whether there was none."""
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in contexts.schema)
 
     def reply(batches):
@@ -118,21 +137,29 @@ def _replies(contexts: DataFrame, decider: Callable[[], Decider], prompt: str) -
                 except Exception:
                     raw.append(None)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(raw, pa.string())], names=[*batch.schema.names, "raw"]
+                [*batch.columns, pa.array(raw, pa.string()), pa.array([r is None for r in raw], pa.bool_())],
+                names=[*batch.schema.names, "raw", "outage"],
             )
 
-    return contexts.mapInArrow(reply, f"{ddl}, raw string")
+    return contexts.mapInArrow(reply, f"{ddl}, raw string, outage boolean")
+
+
+def _checked(replies: DataFrame) -> DataFrame:
+    """Checked decisions; a model that gave no reply is told apart from one that replied badly."""
+    outage = F.when(F.col("outage"), F.lit("MODEL_UNAVAILABLE"))
+    return validate_decisions(replies).withColumn("error_code", F.coalesce(outage, "error_code")).drop("outage")
 
 
 def decide(contexts: DataFrame, decider: Callable[[], Decider], prompt: str = GROUNDING_PROMPT) -> DataFrame:
     """Checked decisions for contexts (question_id, message, retrieved).
 
     Replies that break the decision rules are asked for once more; a second
-    failure is an error row, never an answer. The first replies are written to
-    the shared checkpoint folder, so no model call is repeated by recomputation.
+    failure is an error row, never an answer. A model that can't be reached
+    gives MODEL_UNAVAILABLE and isn't asked again. Both rounds of replies are
+    written to the shared checkpoint folder, so no model call is repeated by
+    recomputation or by a second reader.
     """
-    first = cut_lineage(validate_decisions(_replies(contexts, decider, prompt)))
-    good = first.where(F.col("error_code").isNull())
-    again = first.where(F.col("error_code").isNotNull()).select(*contexts.columns)
-    second = validate_decisions(_replies(again, decider, prompt))
-    return good.unionByName(second)
+    first = cut_lineage(_checked(_replies(contexts, decider, prompt)))
+    bad_reply = F.coalesce(F.col("error_code") == "MODEL_OUTPUT_INVALID", F.lit(False))
+    second = cut_lineage(_checked(_replies(first.where(bad_reply).select(*contexts.columns), decider, prompt)))
+    return first.where(~bad_reply).unionByName(second)

@@ -29,7 +29,7 @@ def read_sources(spark: SparkSession, path: str) -> DataFrame:
     return (
         spark.read.schema(SOURCE_SCHEMA)
         .json(path, multiLine=True)
-        .withColumn("source", F.element_at(F.split(F.input_file_name(), "/"), -1))
+        .withColumn("source", F.col("_metadata.file_name"))
     )
 
 

@@ -39,7 +39,8 @@ def write_ledger(outcomes: DataFrame, path: str) -> None:
 def job_status(ledger: DataFrame, ids: DataFrame, order: str = "updated_at") -> DataFrame:
     """Latest public status of each asked-for job; ``found`` is false for unknown ids."""
     asked = ids.select("job_id").distinct()
-    latest = last_per_key(ledger, ["job_id"], F.col(order)).select(*STATUS_COLUMNS)
+    wanted = ledger.join(asked, "job_id", "left_semi")
+    latest = last_per_key(wanted, ["job_id"], F.col(order)).select(*STATUS_COLUMNS)
     return lookup(latest, asked, "job_id")
 
 
