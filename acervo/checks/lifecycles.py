@@ -30,7 +30,9 @@ def _(t: Tables) -> DataFrame:
 
 @check(
     "purge_queue",
-    f"WITH RECURSIVE {fr.HISTORIES_SQL} SELECT version_id, archived_at AS requested_at FROM histories WHERE state = 'ARCHIVED'",
+    f"""WITH RECURSIVE {fr.HISTORIES_SQL} SELECT version_id, archived_at AS requested_at FROM histories WHERE state = 'ARCHIVED'
+    UNION ALL SELECT h.version_id, f.pos FROM histories h JOIN fold f ON f.version_id = h.version_id AND f.command = 'index_failed' AND f.outcome = 'accepted'
+    WHERE h.state = 'FAILED'""",
 )
 def _(t: Tables) -> DataFrame:
     return lifecycle.purge_queue(lifecycle.version_histories(fr.commands(t)))
@@ -134,7 +136,7 @@ def _(t: Tables) -> DataFrame:
 @check(
     "purge_points",
     f"""WITH RECURSIVE {fr.HISTORIES_SQL}, points AS (SELECT event_id AS point_id, 'd'||user_id||'-'||(CAST(json_extract_string(props, '$.k') AS INT) % 4) AS version_id FROM events)
-    SELECT point_id, version_id FROM points WHERE version_id NOT IN (SELECT version_id FROM histories WHERE state = 'ARCHIVED')""",
+    SELECT point_id, version_id FROM points WHERE version_id NOT IN (SELECT version_id FROM histories WHERE state IN ('ARCHIVED', 'FAILED'))""",
 )
 def _(t: Tables) -> DataFrame:
     log = fr.commands(t)

@@ -186,6 +186,23 @@ def ingest_requests(t: Tables) -> DataFrame:
     )
 
 
+def repeated_requests(t: Tables) -> DataFrame:
+    """The same requests, and for every fourth document another one with a key of its own for the same version."""
+    c = F.col
+    once = ingest_requests(t)
+    again = once.where(c("seq") % 4 == 0).select(
+        *[
+            {
+                "seq": (c("seq") + 1_000_000_000).alias("seq"),
+                "job_id": F.concat("job_id", F.lit("-again")).alias("job_id"),
+                "idempotency_key": F.concat("idempotency_key", F.lit("-again")).alias("idempotency_key"),
+            }.get(name, c(name))
+            for name in once.columns
+        ]
+    )
+    return once.unionByName(again)
+
+
 def existing_versions(t: Tables) -> DataFrame:
     """Versions of labelled documents: toxic ones archived, good ones ready."""
     hashed = files(t).select("path", F.sha2("content", 256).alias("content_hash"))
@@ -201,7 +218,10 @@ def empty_ledger(t: Tables) -> DataFrame:
 
 
 def ingested(t: Tables) -> Ingested:
-    return ingest(ingest_requests(t), files(t), empty_ledger(t), existing_versions(t), hash_embedder(DIMS), dims=DIMS)
+    return ingest(
+        repeated_requests(t), files(t), empty_ledger(t), existing_versions(t), hash_embedder(DIMS), dims=DIMS,
+        as_of=F.lit("2026-01-01").cast("timestamp"),
+    )
 
 
 @check(
@@ -210,12 +230,23 @@ def ingested(t: Tables) -> Ingested:
       CASE WHEN coalesce(file_error, work_error) IS NOT NULL OR outcome = 'conflict' THEN 'failed' ELSE 'completed' END AS status,
       CASE WHEN outcome <> 'new' THEN 'queued' WHEN work_error IS NOT NULL THEN 'extracting' ELSE 'completed' END AS stage,
       coalesce(file_error, CASE WHEN outcome = 'conflict' THEN 'VERSION_CONFLICT' END, work_error) AS error_code
-    FROM worked""",
+    FROM (SELECT * FROM worked UNION ALL SELECT * REPLACE (CASE ownership WHEN 'index' THEN 'already_indexed' ELSE ownership END AS ownership) FROM worked WHERE doc_id % 4 = 0)""",
 )
 def _(t: Tables) -> DataFrame:
     return ingested(t).ledger.select("version_id", "outcome", "ownership", "status", "stage", "error_code")
 
 
+@check(
+    "ingest_documents",
+    f"""WITH {INGEST_SQL} SELECT {_ID.format('w.doc_id')} AS document_id, d.source||' '||d.lang AS title, CAST(NULL AS VARCHAR) AS description,
+      epoch_us(TIMESTAMP '2026-01-01') AS created_at, epoch_us(TIMESTAMP '2026-01-01') AS updated_at
+    FROM worked w JOIN documents d ON d.doc_id = w.doc_id WHERE outcome = 'new'""",
+)
+def _(t: Tables) -> DataFrame:
+    at = [F.unix_micros(name).alias(name) for name in ("created_at", "updated_at")]
+    return ingested(t).documents.select("document_id", "title", "description", *at)
+
+
 @check(
     "ingest_points",
     f"""WITH RECURSIVE {INGEST_SQL}, {_FORM_FEED_CHUNKS}
@@ -225,16 +256,24 @@ def _(t: Tables) -> DataFrame:
     return ingested(t).points.select("point_id", "version_id", "page", "section", "chunk_index", "text")
 
 
-# A manifest of the same files: two neighbouring documents are two versions, the later one replaces.
+# A manifest of the same files over a live corpus: two neighbouring documents are two versions of one, of which the even one may be
+# live and the odd one ready; the manifest activates all it can, so the odd one replaces the even one.
+_OLD = "CASE WHEN toxic = 1 THEN 'ARCHIVED' WHEN quality = 1 AND doc_id % 2 = 0 THEN 'ACTIVE' WHEN quality = 1 THEN 'READY' END"
+_FRESH = f"file_error IS NULL AND ({_OLD}) IS NULL"
+
+
 @check(
     "replace_annual",
-    f"""WITH RECURSIVE {INGEST_SQL.replace("WHERE ownership = 'index'", "WHERE file_error IS NULL").replace("ownership = 'index' AND", "file_error IS NULL AND")},
-    good AS (SELECT doc_id, doc_id // 2 AS pair, work_error FROM worked WHERE file_error IS NULL),
-    states AS (SELECT *, CASE WHEN work_error IS NOT NULL THEN 'FAILED'
-      WHEN doc_id = max(doc_id) FILTER (work_error IS NULL) OVER (PARTITION BY pair) THEN 'ACTIVE' ELSE 'ARCHIVED' END AS state FROM good),
-    {CHUNKS_SQL.replace(fr.PAGES_SQL + ",", "").replace("FROM pages_of)", "FROM pages_of WHERE doc_id IN (SELECT doc_id FROM states WHERE state = 'ACTIVE'))", 1)}
+    f"""WITH RECURSIVE {INGEST_SQL.replace("WHERE ownership = 'index'", f"WHERE {_FRESH}").replace("ownership = 'index' AND", f"{_FRESH} AND")},
+    known AS (SELECT doc_id, doc_id // 2 AS pair, {_OLD} AS old, file_error, work_error FROM worked),
+    lives AS (SELECT *, coalesce(old <> 'ARCHIVED', true) AND (coalesce(old = 'ACTIVE', false) OR (file_error IS NULL AND work_error IS NULL)) AS live FROM known),
+    states AS (SELECT *, CASE WHEN old = 'ARCHIVED' THEN 'ARCHIVED'
+      WHEN live THEN CASE WHEN doc_id % 2 = 0 AND bool_or(live AND doc_id % 2 = 1) OVER (PARTITION BY pair) THEN 'ARCHIVED' ELSE 'ACTIVE' END
+      WHEN old IS NOT NULL THEN old WHEN file_error IS NULL THEN 'FAILED' END AS state FROM lives),
+    {CHUNKS_SQL.replace(fr.PAGES_SQL + ",", "").replace("FROM pages_of)", "FROM pages_of WHERE doc_id IN (SELECT doc_id FROM states WHERE state = 'ACTIVE' AND old IS NULL))", 1)}
     SELECT {_ID.format('s.pair')} AS document_id, {_ID.format('s.doc_id')} AS version_id, state,
-      (SELECT count(*) FROM chunks c WHERE c.doc_id = s.doc_id) AS points FROM states s""",
+      CASE WHEN old IS NULL THEN (SELECT count(*) FROM chunks c WHERE c.doc_id = s.doc_id) WHEN state IN ('ACTIVE', 'READY') THEN 1 ELSE 0 END AS points
+    FROM states s WHERE state IS NOT NULL""",
 )
 def _(t: Tables) -> DataFrame:
     c = F.col
@@ -247,11 +286,20 @@ def _(t: Tables) -> DataFrame:
             c("file_name").alias("file"), "idempotency_key", F.lit(True).alias("activate"),
         ),
     }
-    no_versions = t.spark.createDataFrame(
-        [], "version_id string, document_id string, academic_year string, content_hash string, state string"
+    hashed = files(t).select("path", F.sha2("content", 256).alias("content_hash"))
+    state = F.when(c("toxic") == 1, "ARCHIVED").when(c("quality") == 1, F.when(c("seq") % 2 == 0, "ACTIVE").otherwise("READY"))
+    old = cut_lineage(
+        requests.join(t.labels, c("seq") == c("doc_id")).join(hashed, "path").where(state.isNotNull())
+        .select("version_id", pair.alias("document_id"), "academic_year", "content_hash", state.alias("state"))
+    )
+    old_points = old.select(
+        F.concat(F.lit("old-"), "version_id").alias("point_id"), "version_id", "document_id",
+        F.lit(None).cast("string").alias("document_title"), "academic_year", F.lit(None).cast("string").alias("file_hash"),
+        F.lit(1).alias("page"), F.lit(None).cast("string").alias("section"), F.lit(0).cast("bigint").alias("chunk_index"),
+        F.lit("old").alias("text"), "content_hash", F.lit(None).cast("array<float>").alias("vector"),
     )
     _done, histories, points = corpora.replace_annual(
-        tables, files(t), "/corpus", empty_ledger(t), no_versions, hash_embedder(DIMS), dims=DIMS
+        tables, files(t), "/corpus", empty_ledger(t), old, hash_embedder(DIMS), dims=DIMS, points=old_points
     )
     counts = points.groupBy("version_id").agg(F.count("*").alias("n"))
     return histories.join(counts, "version_id", "left").select(

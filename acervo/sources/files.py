@@ -22,6 +22,8 @@ LOADER_ERRORS = {
 }
 # ----------------------------------------------------------------------------
 
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
 # A loader turns the bytes of one file into (page number, text) pairs.
 Loader = Callable[[bytes], Iterable[tuple[int, str]]]
 
@@ -34,18 +36,49 @@ def form_feed_pages(content: bytes) -> Iterable[tuple[int, str]]:
     return enumerate(body.split("\f"), start=1)
 
 
+def bare_path(path: Column) -> Column:
+    """A path without scheme and authority, as requests name it: ``file:/a/b`` and ``store://host/a/b`` are ``/a/b``."""
+    return F.regexp_replace(path, r"\A[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(?=/)", "")
+
+
+def read_wanted(spark: SparkSession, paths: DataFrame, ext: str = ".pdf", block: int = 5000) -> DataFrame:
+    """The files of a table of paths (``path``), no others being opened; a path that names no file gives no row.
+
+    The paths go to the file listing in blocks, as Spark lists files on the driver.
+    """
+    out = spark.createDataFrame([], FILE_SCHEMA)
+    held: list[str] = []
+
+    def load(part: list[str]) -> DataFrame:
+        source = spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
+        found = [p for p in part if _exists(spark, p)]
+        return source.load(found) if found else spark.createDataFrame([], FILE_SCHEMA)
+
+    for row in paths.where(F.lower("path").endswith(ext.lower())).select("path").distinct().toLocalIterator():
+        held.append(row.path)
+        if len(held) == block:
+            out, held = out.unionByName(load(held)), []
+    return out.unionByName(load(held))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES, ext: str = ".pdf") -> DataFrame:
     """Files below ``path`` with ``error_code`` set on those that break a rule.
 
-    The size limit is a filter on the listing, so files above it are never
-    opened; they come from a second listing that does not read content.
+    The extension and the size limit are filters on the listing, so files that
+    break them are never opened; they come from a second listing that does not
+    read content.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    small = files.where(F.col("length") <= max_bytes)
-    large = files.where(F.col("length") > max_bytes).select(
-        "path", "modificationTime", "length", F.lit(None).cast("binary").alias("content")
-    )
-    return accept_files(small.unionByName(large), max_bytes, ext)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    fits = files.option("pathGlobFilter", "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext)).load(path)
+    small = fits.where(F.col("length") <= max_bytes)
+    listed = files.load(path).select("path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"))
+    others = listed.where((F.col("length") > max_bytes) | ~F.lower("path").endswith(ext.lower()))
+    return accept_files(small.unionByName(others), max_bytes, ext)
 
 
 def file_error(max_bytes: int = MAX_FILE_BYTES, ext: str = ".pdf") -> Column:

@@ -1,4 +1,4 @@
-import os
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -42,7 +42,7 @@ def test_lifecycle_stream_equals_batch(spark, tmp_path):
     columns = ["pos", "before", "outcome"]
     assert sorted(map(tuple, streamed.select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
     purged = {r.purge_version_id for r in streamed.where("purge_version_id is not null").collect()}
-    assert purged == {r.version_id for r in lifecycle.purge_queue(lifecycle.version_histories(commands)).collect()}
+    assert purged == {r.version_id for r in lifecycle.version_histories(commands).where("state = 'ARCHIVED'").collect()}
 
 
 def test_ingest_stream_over_two_triggers(spark, tmp_path):
@@ -61,7 +61,7 @@ def test_ingest_stream_over_two_triggers(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(schema).parquet(source)
-        batches.ingest_stream(stream, lambda: files, root, hash_embedder(8), dims=8).awaitTermination()
+        batches.ingest_stream(stream, lambda paths: files, root, hash_embedder(8), dims=8).awaitTermination()
         return {r.job: (r.outcome, r.error_code) for r in spark.read.parquet(f"{root}/ledger").withColumn("job", F.concat_ws("/", "idempotency_key", "request_hash")).collect()}, spark.read.parquet(f"{root}/ledger")
 
     put(spark, source, [request(1, "k1", 11)], schema)
@@ -78,15 +78,32 @@ def test_ingest_stream_over_two_triggers(spark, tmp_path):
     assert {(r.version_id, r.state) for r in spark.read.parquet(f"{root}/versions").collect()} == {(uuid(11), "READY")}
 
 
-def test_purge_and_expiry_streams(spark, tmp_path):
+def test_purges_over_several_triggers(spark, tmp_path):
     source, out = str(tmp_path / "purges"), str(tmp_path / "out")
     points = spark.createDataFrame([("p1", "v1"), ("p2", "v2"), ("p3", "v3")], "point_id string, version_id string")
-
-    def before(batch_id):
-        return points if batch_id == 0 else spark.read.parquet(os.path.join(out, f"snapshot={batch_id - 1}"))
-
+    assert batches.live_points(points, out).count() == 3
     for gone in (["v1"], ["v1", "v3"]):
         put(spark, source, [(v,) for v in gone], "version_id string")
         stream = spark.readStream.schema("version_id string").parquet(source)
-        batches.purge_stream(stream, before, out, str(tmp_path / "c1")).awaitTermination()
-    assert [r.point_id for r in spark.read.parquet(os.path.join(out, "snapshot=1")).collect()] == ["p2"]
+        batches.purge_stream(stream, out, str(tmp_path / "c1")).awaitTermination()
+    assert [r.point_id for r in batches.live_points(points, out).collect()] == ["p2"]
+    assert [r.point_id for r in batches.compact_points(points, out, str(tmp_path / "next")).collect()] == ["p2"]
+
+
+def test_entries_kept_by_one_trigger_expire_at_a_later_one(spark, tmp_path):
+    source, out, schema = str(tmp_path / "in"), str(tmp_path / "out"), "id string, expires_at timestamp"
+    clock = ["2026-01-01 00:30:00"]
+
+    def run(rows):
+        put(spark, source, [(i, datetime.fromisoformat(at)) for i, at in rows], schema)
+        stream = spark.readStream.schema(schema).parquet(source)
+        as_of = lambda: F.lit(clock[0]).cast("timestamp")
+        batches.diagnostics_expiry_stream(stream, as_of, out, str(tmp_path / "c"), every=None).awaitTermination()
+        return sorted(r.id for r in batches.live_diagnostics(spark, out, schema, as_of()).collect())
+
+    assert run([("gone", "2026-01-01 00:10:00"), ("a", "2026-01-01 01:00:00"), ("b", "2026-01-01 02:45:00"), ("c", "2026-01-09 00:00:00")]) == ["a", "b", "c"]
+    clock[0] = "2026-01-01 02:30:00"
+    assert run([("d", "2026-01-02 00:00:00")]) == ["b", "c", "d"]
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["b", "c", "d"]
+    clock[0] = "2026-01-01 02:50:00"
+    assert run([("e", "2026-01-03 00:00:00")]) == ["c", "d", "e"]
