@@ -83,7 +83,7 @@ def _(t: Tables) -> DataFrame:
 
 @check("vector_topk_blocks", TOPK_SQL)
 def _(t: Tables) -> DataFrame:
-    return _vector_search(t, max_task_questions=0, question_block=128, point_block=200)
+    return _vector_search(t, question_block=128)
 
 
 @check(

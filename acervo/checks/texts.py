@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acervo.checks import fragments as fr
-from acervo.checks.registry import Tables, check
+from acervo.checks.registry import CHECKS, Tables, check
 from acervo.functions import ids
 from acervo.functions import text as tx
 from acervo.operators import chunking, validation
@@ -239,11 +239,19 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     flat = fr.corpus(t).select("document_id", "version_id", "document_title", "academic_year", F.inline("pages"))
-    nested, _too_large = chunking.nest_pages(flat)
+    nested = chunking.nest_pages(flat)
     texts = F.array_join(F.transform("pages", lambda p: p.text), "\f")
     return nested.select("version_id", F.size("pages").cast("bigint").alias("pages"), F.sha2(texts, 256).alias("text_hash"))
 
 
+@check("chunk_pages", CHECKS["chunk_versions"].sql)
+def _(t: Tables) -> DataFrame:
+    flat = fr.corpus(t).select("document_id", "version_id", "document_title", "academic_year", F.inline("pages"))
+    return chunking.chunk_pages(flat).where(F.col("error_code").isNull()).select(
+        "point_id", "document_id", "version_id", "page", "section", "chunk_index", "content_hash", "text"
+    )
+
+
 @check(
     "validate_pages",
     """SELECT 'v'||l_orderkey AS version_id, count(*) AS bad_pages, 'PDF_PAGE_METADATA_INVALID' AS error_code

@@ -7,15 +7,19 @@ the plan is a scan, projections and one posexplode.
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from acervo.functions import text as tx
 from acervo.functions.ids import point_id
+from acervo.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
 PAGE_SEPARATOR = "\n\f\n"
@@ -232,20 +236,62 @@ def chunk_versions(
     )
 
 
-def nest_pages(pages: DataFrame, max_bytes: int = 25 * 1024 * 1024) -> tuple[DataFrame, DataFrame]:
-    """Pages table -> (one row per version, versions too large for one row).
+def nest_pages(pages: DataFrame) -> DataFrame:
+    """Pages table -> one row per version, pages in order. For versions that fit in a row, as those of one file do;
+    ``chunk_pages`` needs no such row."""
+    return pages.groupBy("document_id", "version_id", "document_title", "academic_year").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("page").cast("int").alias("page"), "text"))).alias("pages")
+    )
+
+
+def flat_content_hash(pages: DataFrame) -> DataFrame:
+    """(version_id, content_hash) of normalised flat pages. A version's pages stream through its task in order; none is held
+    longer than its batch, so a version may be of any size."""
+    schema = pa.schema([("version_id", pa.string()), ("content_hash", pa.string())])
+    separator = PAGE_SEPARATOR.encode()
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        version, found = None, None
+        for batch in batches:
+            for version, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if found is None:
+                    found = hashlib.sha256()
+                else:
+                    found.update(separator)
+                found.update(text.encode())
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([version]), pa.array([found.hexdigest()])], schema=schema)
 
-    Sizes are summed first (partial sums per task), so that only versions
-    within the file size limit are ever gathered into a row.
+    ordered = pages.select("version_id", "page", "text").repartition("version_id").sortWithinPartitions("version_id", "page")
+    return ordered.groupBy("version_id").applyInArrow(digest, "version_id string, content_hash string")
+
+
+def chunk_pages(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """The chunks of ``chunk_versions`` from a flat table of pages, with no version gathered into a row.
+
+    ``pages``: document_id, version_id, document_title, academic_year, page,
+    text. Sections and pieces are made page by page, so a version with a large
+    share of all pages is spread; numbers come from counts per page.
     """
-    sizes = pages.groupBy("version_id").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    large = sizes.where(F.col("bytes") > max_bytes)
-    nested = (
-        pages.join(large, "version_id", "left_anti")
-        .groupBy("document_id", "version_id", "document_title", "academic_year")
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("page").cast("int").alias("page"), "text"))).alias("pages"))
+    keys = [F.col(k) for k in _VERSION_KEYS[:4]]
+    one = pages.select(*keys, F.array(F.struct(F.col("page").cast("int").alias("page"), "text")).alias("pages"))
+    settled = cut_lineage(normalize_pages(one).select(*keys, F.inline("pages")))
+    sections = assign_sections(settled.select(*keys, "page", F.array(F.struct("page", "text")).alias("pages")))
+    cut = sections.select(*keys, "page", F.posexplode("sections").alias("section_no", "s")).select(
+        *keys, "page", "section_no", "s.section", F.posexplode(split_recursive(size, overlap)("s.text")).alias("piece_no", "text")
+    )
+    numbered = cut_lineage(assign_chunk_index(cut))
+    chunks = numbered.join(flat_content_hash(settled), "version_id").select(
+        point_id(F.col("version_id"), F.col("chunk_index")).alias("point_id"), *keys, "page", "section",
+        F.col("chunk_index").cast("int").alias("chunk_index"), "content_hash", "text",
+        F.when(~tx.has_extractable_text(F.col("text")), F.lit("PDF_CHUNK_EMPTY")).alias("error_code"),
+    )
+    bare = pages.select(*keys).dropDuplicates(["version_id"]).join(numbered.select("version_id").distinct(), "version_id", "left_anti")
+    missing = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in chunks.schema}
+    no_text = bare.select(
+        *[F.lit("PDF_CHUNK_EMPTY").alias(n) if n == "error_code" else F.col(n) if n in bare.columns else missing[n] for n in chunks.columns]
     )
-    return nested, large.select("version_id", "bytes", F.lit("PDF_TOO_LARGE").alias("error_code"))
+    return chunks.unionByName(no_text)
 
 
 def assign_chunk_index(pieces: DataFrame) -> DataFrame:

@@ -105,7 +105,8 @@ def test_splitter_agrees_with_the_naive_one(text, size, overlap):
 @settings(max_examples=200, database=None, deadline=None)
 @given(st.lists(st.text("abcdefg", min_size=1, max_size=15), min_size=1, max_size=60))
 def test_chunks_cover_all_words_in_order(words):
-    text = " ".join(words)
+    # Numbered, so that a chunk is found at its own place and not at an equal earlier one.
+    text = " ".join(f"{i}{w}" for i, w in enumerate(words))
     found, at = chunking.split_text(text, 40, 10), 0
     assert all(len(c) <= 40 for c in found)
     for chunk in found:
@@ -115,15 +116,19 @@ def test_chunks_cover_all_words_in_order(words):
     assert at == len(text)
 
 
-def test_flat_pages_nest_and_large_versions_are_told(spark):
+def test_flat_pages_give_the_chunks_of_nested_ones(spark):
+    text = "TÍTULO\n" + "una frase con palabras. " * 150
     pages = spark.createDataFrame(
-        [("d", "v", "t", "y", 2, "dos"), ("d", "v", "t", "y", 1, "uno"), ("d", "w", "t", "y", 1, "x" * 100)],
+        [("d", "v", "t", "y", 2, "dos\r\n" + text), ("d", "v", "t", "y", 1, text), ("d", "v", "t", "y", 3, " "), ("d", "w", "t", "y", 1, "x" * 3000), ("d", "e", "t", "y", 1, "")],
         "document_id string, version_id string, document_title string, academic_year string, page int, text string",
     )
-    nested, large = chunking.nest_pages(pages, max_bytes=50)
-    (row,) = nested.collect()
-    assert [(p.page, p.text) for p in row.pages] == [(1, "uno"), (2, "dos")]
-    assert [(r.version_id, r.bytes, r.error_code) for r in large.collect()] == [("w", 100, "PDF_TOO_LARGE")]
+    nested = chunking.nest_pages(pages)
+    assert {r.version_id: [p.page for p in r.pages] for r in nested.collect()} == {"v": [1, 2, 3], "w": [1], "e": [1]}
+    flat, whole = chunking.chunk_pages(pages), chunking.chunk_versions(nested)
+    names = [c for c in whole.columns if c != "content_hash"]
+    assert sorted(map(str, flat.select(names).collect())) == sorted(map(str, whole.select(names).collect()))
+    hashes = [sorted({(r.version_id, r.content_hash) for r in df.where("text is not null").collect()}) for df in (flat, whole)]
+    assert hashes[0] == hashes[1]
 
 
 def test_version_hash_joins_pages(spark):

@@ -6,7 +6,7 @@ from acervo.functions import vectors
 from acervo.operators import retrieval
 from acervo.plans import ask as asking
 
-FORMS = [{}, {"max_task_questions": 0, "question_block": 7, "point_block": 16}]
+FORMS = [{}, {"question_block": 7}]
 
 
 def brute(questions, points, k, threshold):
@@ -45,6 +45,18 @@ def test_empty_sides_give_no_hits(spark, options):
     assert retrieval.vector_topk(q.where(F.lit(False)), p, **options).count() == 0
 
 
+def test_vectors_of_another_size_and_nulls_are_refused(spark):
+    good = frame(spark, "question_id", [("q", [1, 0])])
+    ragged = frame(spark, "point_id", [("a", [1]), ("b", [0, 1, 1])])
+    null = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None)], "point_id string, vector array<float>")
+    hollow = spark.createDataFrame([("a", [1.0, None])], "point_id string, vector array<float>")
+    for points in (ragged, null, hollow):
+        with pytest.raises(Exception, match=retrieval.MISFIT):
+            retrieval.vector_topk(good, points).collect()
+    with pytest.raises(ValueError, match=retrieval.MISFIT):
+        retrieval.vector_topk(frame(spark, "question_id", [("q", [1, 0]), ("r", [1])]), frame(spark, "point_id", [("a", [1, 0])]))
+
+
 def test_scope_keeps_only_listed_versions(spark):
     points = spark.createDataFrame([("p1", "v1"), ("p2", "v2"), ("p3", "v1")], "point_id string, version_id string")
     one = spark.createDataFrame([("v1",), ("v9",)], "version_id string")
