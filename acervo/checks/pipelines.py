@@ -71,6 +71,22 @@ def _(t: Tables) -> DataFrame:
     return shown(answers)
 
 
+@check(
+    "ask_diagnostics",
+    f"""WITH RECURSIVE {CHUNKS_SQL}, {fr.VERSIONS_SQL}, {QUESTIONS_SQL.replace('asked AS', 'given AS')},
+    {answers_sql("p.state = 'ACTIVE'", "given")}, said AS ({ANSWER_OUT_SQL})
+    SELECT sha256(question_id||chr(31)||question||chr(31)||'2024-01-15 00:00:00') AS id, question_id AS request_id, question, answer, retrieved,
+      epoch_us(TIMESTAMP '2024-01-16 00:00:00') AS expires_at FROM said WHERE error_code IS NULL""",
+)
+def _(t: Tables) -> DataFrame:
+    # Every point is there twice; a repeated id must not repeat in a context.
+    points = corpus_points(t)
+    answers = asking.ask(questions(t), points.unionByName(points), fr.labelled_versions(t), hash_embedder(DIMS), dims=DIMS, k=12)
+    kept = answers.withColumn("retrieved", F.slice("retrieved", 1, 6))
+    rows = asking.ask_diagnostics(kept, F.lit("2024-01-15 00:00:00").cast("timestamp"))
+    return rows.select("id", "request_id", "question", "answer", F.array_join("retrieved_chunk_ids", ",").alias("retrieved"), F.unix_micros("expires_at").alias("expires_at"))
+
+
 # Two neighbouring documents are two versions of one; the even one may be live.
 PAIRED_SQL = """versions AS (SELECT 'v'||d.doc_id AS version_id, 'p'||(d.doc_id // 2) AS document_id,
   CASE WHEN toxic = 1 THEN 'ARCHIVED' WHEN d.doc_id % 2 = 0 THEN 'ACTIVE' WHEN quality = 0 THEN 'FAILED' ELSE 'READY' END AS state

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acervo.functions.vectors import Embedder
-from acervo.operators import answering, lifecycle, models, retrieval, validation
+from acervo.operators import answering, diagnostics, lifecycle, models, retrieval, validation
 from acervo.session import cut_lineage
 
 ANSWER_COLUMNS = ("question_id", "question", "status", "answer", "citations", "retrieved", "error_code")
@@ -21,7 +22,9 @@ def embed_questions(questions: DataFrame, embedder: Callable[[], Embedder], dims
 
 def _answers(questions: DataFrame, hits: DataFrame, decider) -> DataFrame:
     """Answers for checked questions from their ranked hits with payload."""
-    contexts = answering.assemble_context(hits)
+    # A point id that the points hold more than once counts once, at its best score.
+    once = answering.dedup_hits(hits.withColumn("pos", F.col("rank")).drop("rank")).withColumnRenamed("pos", "rank")
+    contexts = answering.assemble_context(once)
     # Only questions with hits go to the decider; all others are not found.
     asked = contexts.join(questions.select("question_id", "question"), "question_id")
     if decider is None:
@@ -51,6 +54,22 @@ def _answers(questions: DataFrame, hits: DataFrame, decider) -> DataFrame:
     )
 
 
+def ask_diagnostics(answers: DataFrame, as_of: Column, ttl_hours: int = diagnostics.TTL_HOURS) -> DataFrame:
+    """Diagnostics entries of answered questions; those that ended in an error have none."""
+    answered = answers.where(F.col("error_code").isNull())
+    return diagnostics.diagnostics_rows(answered.withColumnRenamed("question_id", "request_id"), as_of, ttl_hours)
+
+
+def record(answers: DataFrame, path: str, as_of: Column, ttl_hours: int = diagnostics.TTL_HOURS) -> bool:
+    """Append the diagnostics of written answers; a failure is told in the log and by the result, and fails no answer."""
+    try:
+        ask_diagnostics(answers, as_of, ttl_hours).write.mode("append").parquet(path)
+        return True
+    except Exception:
+        logging.getLogger(__name__).exception("diagnostics were not recorded")
+        return False
+
+
 def ask(
     questions: DataFrame,
     points: DataFrame,
