@@ -7,8 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def local_session(cpus: int | str = "*", partitions: int = 8, name: str = "acervo") -> SparkSession:
     """A session for one machine (tests, bench). Clusters bring their own."""
@@ -43,11 +41,6 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def use_state_store(spark: SparkSession) -> None:
-    """Keyed state in Python needs the RocksDB state store."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a result to the shared folder as a table and go on from there.
 

@@ -1,138 +1,73 @@
-"""Keyed state over request and command streams."""
+"""Keyed state over request and command streams, kept as tables that each trigger reads and adds to.
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, Row
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor
-
-from acervo.session import use_state_store
-
-ADMISSION_SCHEMA = (
-    "idempotency_key string, seq bigint, request_hash string, outcome string, job_id string, error_code string"
-)
-TRANSITION_SCHEMA = (
-    "document_id string, version_id string, pos bigint, command string, before string, outcome string, "
-    "purge_version_id string"
-)
-
-
-def _in_order(rows, order: str) -> list[Row]:
-    """All rows of a key in this trigger, in order (a trigger is bounded by its file limit)."""
-    return sorted(rows, key=lambda row: row[order])
-
-
-class Admission(StatefulProcessor):
-    """Remembers per idempotency key the hash and job of its first request."""
-
-    def init(self, handle) -> None:
-        self.first = handle.getValueState("first", "request_hash string, job_id string")
-
-    def handleInputRows(self, key, rows, timerValues):
-        known = self.first.get()
-        # Once the first request of a key is known, the others need no order.
-        for row in rows if known is not None else _in_order(rows, "seq"):
-            if known is None:
-                known = (row.request_hash, row.job_id)
-                self.first.update(known)
-                outcome = "new"
-            else:
-                outcome = "replay" if known[0] == row.request_hash else "conflict"
-            clash = outcome == "conflict"
-            yield Row(
-                idempotency_key=key[0],
-                seq=row.seq,
-                request_hash=row.request_hash,
-                outcome=outcome,
-                job_id=None if clash else known[1],
-                error_code="IDEMPOTENCY_CONFLICT" if clash else None,
-            )
-
-    def close(self) -> None:
-        pass
-
-
-def admit_stream(requests: DataFrame) -> DataFrame:
-    """Admission outcomes for a stream of idempotency_key, seq, request_hash, job_id."""
-    use_state_store(requests.sparkSession)
-    return requests.groupBy("idempotency_key").transformWithState(
-        statefulProcessor=Admission(), outputStructType=ADMISSION_SCHEMA, outputMode="Append", timeMode="None"
-    )
+A trigger runs the batch operators against what earlier triggers left, so a key
+with very many rows in one trigger is aggregated and spread as in a batch, and
+no worker holds the rows of a key. Each trigger writes to folders named by its
+batch id and replaces them when it is retried.
+"""
 
+from __future__ import annotations
 
-# Commands that take a version from a state (row) to another one; the rest are rejected.
-_MOVES = {
-    ("index_succeeded", "INDEXING"): "READY",
-    ("index_failed", "INDEXING"): "FAILED",
-    ("activate", "READY"): "ACTIVE",
-}
-_REPEATS = {("index_succeeded", "READY"), ("index_failed", "FAILED"), ("activate", "ACTIVE"), ("archive", "ARCHIVED")}
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from acervo.operators import admission, lifecycle
+from acervo.session import cut_lineage
+from acervo.sources.snapshots import last_per_key
+from acervo.streaming.batches import LEDGER_KEYS, read_or_empty, start
 
-def next_state(command: str, before: str) -> tuple[str, str]:
-    """(state after, outcome) of a command on a version in state ``before``."""
-    if command == "index_started":
-        return ("INDEXING", "accepted") if before == "NONE" else (before, "no_op")
-    if before == "NONE":
-        return before, "VERSION_NOT_FOUND"
-    if (command, before) in _REPEATS:
-        return before, "no_op"
-    if command == "archive":
-        return "ARCHIVED", "accepted"
-    after = _MOVES.get((command, before))
-    if after is None:
-        return before, "VERSION_NOT_READY" if command == "activate" else "INVALID_TRANSITION"
-    return after, "accepted"
+STATES = "document_id string, version_id string, state string"
 
 
-class Lifecycle(StatefulProcessor):
-    """Holds the state of each version of a document and which one is active."""
+def admit_stream(requests: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Admission outcomes for a stream of idempotency_key, seq, request_hash, job_id, in the table at ``path``.
 
-    def init(self, handle) -> None:
-        self.states = handle.getMapState("states", "version_id string", "state string")
-        self.active = handle.getValueState("active", "version_id string")
+    The first request of a key over all triggers decides; within a trigger that is the one of least ``seq``.
+    """
 
-    def handleInputRows(self, key, rows, timerValues):
-        live = self.active.get()
-        live = live[0] if live is not None else None
-        states, changed, was = {}, {}, live
-        for row in _in_order(rows, "pos"):
-            version = row.version_id
-            if version not in states:
-                kept = self.states.getValue((version,)) if self.states.containsKey((version,)) else None
-                states[version] = kept[0] if kept is not None else "NONE"
-            before, purge = states[version], None
-            after, outcome = next_state(row.command, before)
-            if outcome == "accepted":
-                if after == "ACTIVE":
-                    if live is not None:
-                        states[live] = changed[live] = "ARCHIVED"
-                        purge = live
-                    live = version
-                elif after == "ARCHIVED":
-                    purge = version
-                    live = None if before == "ACTIVE" else live
-                states[version] = changed[version] = after
-            yield Row(
-                document_id=key[0], version_id=version, pos=row.pos, command=row.command,
-                before=before, outcome=outcome, purge_version_id=purge,
-            )
-        for version, state in changed.items():
-            self.states.updateValue((version,), (state,))
-        if live is None and was is not None:
-            self.active.clear()
-        elif live != was:
-            self.active.update((live,))
+    def each(batch: DataFrame, batch_id: int) -> None:
+        earlier = read_or_empty(batch.sparkSession, path, f"{LEDGER_KEYS}, batch bigint")
+        owners = earlier.where((F.col("batch") < batch_id) & (F.col("outcome") == "new")).drop("batch", "outcome")
+        asked = batch.select("idempotency_key", "seq", "request_hash", "job_id")
+        known = owners.join(asked.select("idempotency_key"), "idempotency_key", "left_semi")
+        admission.admit_requests(asked, known).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    def close(self) -> None:
-        pass
+    return start(requests, each, checkpoint, every)
 
 
-def lifecycle_stream(commands: DataFrame) -> DataFrame:
-    """Transitions, rejects and purge requests for a stream of lifecycle commands.
+def lifecycle_stream(commands: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Transitions and purge requests for a stream of lifecycle commands (pos, document_id, version_id, command).
 
-    Keyed by document, so a version must always be named with its own document.
+    Below ``path``: ``moves`` has every command with the state before it and its
+    outcome, ``states`` the states of versions as triggers changed them,
+    ``purges`` the versions that each trigger archived or failed. Positions must
+    ascend from trigger to trigger.
     """
-    use_state_store(commands.sparkSession)
-    return commands.groupBy("document_id").transformWithState(
-        statefulProcessor=Lifecycle(), outputStructType=TRANSITION_SCHEMA, outputMode="Append", timeMode="None"
-    )
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        c = F.col
+        spark = batch.sparkSession
+        new = cut_lineage(batch.select("pos", "document_id", "version_id", "command"))
+        stored = read_or_empty(spark, f"{path}/states", f"{STATES}, batch bigint").where(c("batch") < batch_id)
+        named = new.select("version_id").distinct()
+        owners = stored.join(named, "version_id", "left_semi").select("document_id").union(new.select("document_id")).distinct()
+        last = last_per_key(stored.join(owners, "document_id", "left_semi"), ["version_id"], c("batch"))
+        before = cut_lineage(last.select("document_id", "version_id", "state"))
+        none = F.lit(None).cast(new.schema["pos"].dataType)
+        seeds = lifecycle.commands_to(before).select(
+            F.struct(F.lit(0).alias("turn"), c("version_id").alias("key"), none.alias("pos"), "step").alias("pos"), "document_id", "version_id", "command"
+        )
+        added = new.select(
+            F.struct(F.lit(1).alias("turn"), F.lit("").alias("key"), "pos", F.lit(0).alias("step")).alias("pos"), "document_id", "version_id", "command"
+        )
+        log = cut_lineage(seeds.unionByName(added))
+        moves = lifecycle.fold_lifecycle(log).where(c("pos.turn") == 1).withColumn("pos", c("pos.pos"))
+        moves.write.mode("overwrite").parquet(f"{path}/moves/batch={batch_id}")
+        after = lifecycle.version_histories(log).select("document_id", "version_id", "state")
+        old = before.select("version_id", c("state").alias("old"))
+        changed = cut_lineage(after.join(old, "version_id", "left").where(~c("state").eqNullSafe(c("old"))).drop("old"))
+        changed.where(c("state").isin("ARCHIVED", "FAILED")).select("version_id").write.mode("overwrite").parquet(f"{path}/purges/batch={batch_id}")
+        changed.select("document_id", "version_id", "state").write.mode("overwrite").parquet(f"{path}/states/batch={batch_id}")
+
+    return start(commands, each, checkpoint, every)

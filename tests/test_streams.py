@@ -19,8 +19,7 @@ def test_admission_remembers_over_restarts(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
 
     def run():
-        stream = keyed.admit_stream(spark.readStream.schema(REQUESTS).parquet(source))
-        batches.append_to(stream, out, checkpoint).awaitTermination()
+        keyed.admit_stream(spark.readStream.schema(REQUESTS).parquet(source), out, checkpoint).awaitTermination()
         return {r.seq: (r.outcome, r.job_id) for r in spark.read.parquet(out).collect()}
 
     put(spark, source, [("k", 2, "h", "j2"), ("k", 1, "h", "j1"), ("x", 3, "h", "j3")], REQUESTS)
@@ -34,15 +33,14 @@ def test_lifecycle_stream_equals_batch(spark, tmp_path):
     log = [(p, d, f"{d}-{v}", c) for p, d, v, c in random_log(11, n=600, versions=12)]
     for part in (log[:300], log[300:]):
         put(spark, source, part, SCHEMA)
-        stream = keyed.lifecycle_stream(spark.readStream.schema(SCHEMA).parquet(source))
-        batches.append_to(stream, out, checkpoint).awaitTermination()
-    streamed = spark.read.parquet(out)
+        keyed.lifecycle_stream(spark.readStream.schema(SCHEMA).parquet(source), out, checkpoint).awaitTermination()
+    streamed = spark.read.parquet(f"{out}/moves")
     commands = spark.createDataFrame(log, SCHEMA)
     batch = lifecycle.fold_lifecycle(commands)
     columns = ["pos", "before", "outcome"]
     assert sorted(map(tuple, streamed.select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
-    purged = {r.purge_version_id for r in streamed.where("purge_version_id is not null").collect()}
-    assert purged == {r.version_id for r in lifecycle.version_histories(commands).where("state = 'ARCHIVED'").collect()}
+    purged = {r.version_id for r in spark.read.parquet(f"{out}/purges").collect()}
+    assert purged == {r.version_id for r in lifecycle.purge_queue(lifecycle.version_histories(commands)).collect()}
 
 
 def test_ingest_stream_over_two_triggers(spark, tmp_path):
