@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from acervo.functions import text as tx
 from acervo.functions.ids import IDEMPOTENCY_KEY
 from acervo.operators.validation import ANSWER_STATUSES
+from acervo.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
 EMAIL_PATTERN = r"[a-zA-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)+"
@@ -88,31 +89,32 @@ def scan_contacts(
     return found.where(F.col("value").isNotNull() & ~allowed).select(*violation("contact", F.col(subject), F.concat_ws(":", "kind", "value")))
 
 
-def repeated_values(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Values that occur more than once in a column that must be unique; one shuffle for all columns."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
-    counts = df.select(F.explode(pairs).alias("p")).groupBy("p.column", "p.value").agg(F.count("*").alias("n"))
-    repeated = counts.where(F.col("n") > 1)
-    return repeated.select(
-        F.concat(F.lit("duplicate_"), "column").alias("check"),
-        F.col("value").alias("subject"),
-        F.col("n").cast("string").alias("detail"),
+UNIQUE = ("version_id", "file", "idempotency_key")
+
+
+def version_uses(versions: DataFrame) -> DataFrame:
+    """How often each document, source and value that must be unique occurs in the versions, and where first: one pass for all."""
+    named = {"document": "document_id", "source": "source", **{c: c for c in UNIQUE}}
+    uses = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value")) for kind, c in named.items()])
+    rows = versions.select("document_id", "position", "source", F.explode(uses).alias("u"))
+    return rows.groupBy("u.kind", "u.value").agg(
+        F.count("*").alias("n"), F.min(F.struct("document_id", "position")).alias("first_use"), F.min_by("source", "position").alias("first_source")
     )
 
 
-def repeated_sources(versions: DataFrame) -> DataFrame:
+def repeated_sources(versions: DataFrame, uses: DataFrame) -> DataFrame:
     """Sources used again elsewhere than as the first source of the same document."""
-    first = versions.groupBy("document_id").agg(F.min_by("source", "position").alias("first_source"))
-    seen = versions.groupBy("source").agg(
-        F.count("*").alias("n"), F.min(F.struct("document_id", "position")).alias("first_use")
-    )
+    c = F.col
+    seen = uses.where((c("kind") == "source") & (c("n") > 1)).select(c("value").alias("source"), "first_use")
+    first = uses.where(c("kind") == "document").select(c("value").alias("document_id"), c("first_source").alias("own_source"))
     again = (
-        versions.join(seen.where(F.col("n") > 1), "source")
-        .where(F.struct("document_id", "position") > F.col("first_use"))
+        versions.select("document_id", "position", "source", "version_id")
+        .join(seen, "source")
+        .where(F.struct("document_id", "position") > c("first_use"))
         .join(first, "document_id")
-        .where(F.col("source") != F.col("first_source"))
+        .where(c("source") != c("own_source"))
     )
-    return again.select(*violation("duplicate_source", F.col("source"), F.col("version_id")))
+    return again.select(*violation("duplicate_source", c("source"), c("version_id")))
 
 
 def validate_manifest(
@@ -126,28 +128,30 @@ def validate_manifest(
 ) -> DataFrame:
     """Violations of the manifest rules, over its flattened tables."""
     c = F.col
-    owned = versions.select("document_id", "version_id").distinct()
+    uses = cut_lineage(version_uses(versions))
+    schemas = cut_lineage(documents.groupBy("manifest_schema").agg(F.count("*").alias("n")))
+    claims = cut_lineage(
+        conflicts.groupBy("conflict_id").agg(
+            F.count("*").alias("n"), F.min("document_id").alias("least"), F.max("document_id").alias("most")
+        )
+    )
     known = documents.select("document_id", F.lit(True).alias("known")).distinct()
-    per_document = versions.groupBy("document_id").agg(F.count("*").alias("n"))
-    multi = per_document.agg(F.count_if(c("n") > 1).alias("n"))
+    owned = versions.select("document_id", "version_id").distinct()
     checked = replacement.join(known, "document_id", "left")
     for side in ("previous", "current"):
         mark = owned.select("document_id", c("version_id").alias(f"{side}_version_id"), F.lit(True).alias(f"{side}_known"))
         checked = checked.join(mark, ["document_id", f"{side}_version_id"], "left")
-    claims = conflicts.groupBy("conflict_id").agg(
-        F.count("*").alias("n"), F.min("document_id").alias("least"), F.max("document_id").alias("most")
-    )
+    repeated = uses.where(c("kind").isin(*UNIQUE) & (c("n") > 1))
+    multi = uses.where(c("kind") == "document").agg(F.count_if(c("n") > 1).alias("n"))
     return unite(
         [
-            documents.where(~c("manifest_schema").eqNullSafe(schema_tag)).select("manifest_schema").distinct().select(
-                *violation("schema", c("manifest_schema"))
-            ),
-            documents.agg(F.count("*").alias("n")).where(c("n") != expected_documents).select(
+            schemas.where(~c("manifest_schema").eqNullSafe(schema_tag)).select(*violation("schema", c("manifest_schema"))),
+            schemas.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).where(c("n") != expected_documents).select(
                 *violation("document_count", c("n"))
             ),
             multi.where(c("n") != expected_multi_version).select(*violation("multi_version_documents", c("n"))),
-            repeated_values(versions, ["version_id", "file", "idempotency_key"]),
-            repeated_sources(versions),
+            repeated.select(F.concat(F.lit("duplicate_"), "kind").alias("check"), c("value").alias("subject"), c("n").cast("string").alias("detail")),
+            repeated_sources(versions, uses),
             versions.where(~F.coalesce(c("idempotency_key").rlike(IDEMPOTENCY_KEY), F.lit(False))).select(
                 *violation("invalid_idempotency_key", c("version_id"), c("idempotency_key"))
             ),
@@ -159,7 +163,7 @@ def validate_manifest(
                 ("replacement_same_version", c("previous_version_id") == c("current_version_id"), c("current_version_id"), None),
                 ("replacement_not_active", ~c("current_activates"), c("current_version_id"), None),
             ),
-            conflicts.agg(F.count("*").alias("n")).where(c("n") == 0).select(*violation("no_conflict", F.lit(None))),
+            claims.agg(F.count("*").alias("n")).where(c("n") == 0).select(*violation("no_conflict", F.lit(None))),
             failing(
                 claims,
                 ("conflict_claims", c("n") != 2, c("conflict_id"), c("n")),

@@ -26,10 +26,12 @@ QUESTIONS_SCHEMA = (
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
+    """Source documents with the name of their file. Spark gives names percent-encoded; a plus is a plus."""
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
     return (
         spark.read.schema(SOURCE_SCHEMA)
         .json(path, multiLine=True)
-        .withColumn("source", F.col("_metadata.file_name"))
+        .withColumn("source", name)
     )
 
 

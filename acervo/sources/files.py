@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from acervo.functions import text as tx
@@ -54,7 +54,9 @@ def read_wanted(spark: SparkSession, paths: DataFrame, ext: str = ".pdf", block:
         found = [p for p in part if _exists(spark, p)]
         return source.load(found) if found else spark.createDataFrame([], FILE_SCHEMA)
 
-    for row in paths.where(F.lower("path").endswith(ext.lower())).select("path").distinct().toLocalIterator():
+    # A file that requests spell in several ways is opened once.
+    named = paths.where(F.lower("path").endswith(ext.lower())).groupBy(bare_path(F.col("path"))).agg(F.max_by("path", F.length("path")).alias("path"))
+    for row in named.select("path").toLocalIterator():
         held.append(row.path)
         if len(held) == block:
             out, held = out.unionByName(load(held)), []
@@ -73,10 +75,12 @@ def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES,
     break them are never opened; they come from a second listing that does not
     read content.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    fits = files.option("pathGlobFilter", "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext)).load(path)
+    def listing() -> DataFrameReader:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+
+    fits = listing().option("pathGlobFilter", "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext)).load(path)
     small = fits.where(F.col("length") <= max_bytes)
-    listed = files.load(path).select("path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"))
+    listed = listing().load(path).select("path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"))
     others = listed.where((F.col("length") > max_bytes) | ~F.lower("path").endswith(ext.lower()))
     return accept_files(small.unionByName(others), max_bytes, ext)
 

@@ -8,11 +8,13 @@ task before the shuffle and a much repeated key costs one row per task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from acervo.session import cut_lineage
+
 
 def last_per_key(rows: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     """The last row of each key by ``order``, which must be unique within a key."""
@@ -93,3 +95,34 @@ def save_bucketed(df: DataFrame, table: str, buckets: int, path: str, key: str =
 def with_bucket(points: DataFrame, buckets: int) -> DataFrame:
     """A version bucket to partition the points table by (all points of a version share one)."""
     return points.withColumn("bucket", F.pmod(F.xxhash64("version_id"), F.lit(buckets)).cast("int"))
+
+
+def rewrite_buckets(spark: SparkSession, path: str, touched: DataFrame, change: Callable[[DataFrame], DataFrame]) -> list[int]:
+    """Replace the buckets named in ``touched`` (column bucket) of a table partitioned by bucket; returns them.
+
+    Only these partitions are read and written. The new rows are written beside
+    the table first, so a failure before the swap leaves it as it was, and
+    repeating the call is harmless.
+    """
+    buckets = sorted(r.bucket for r in touched.select("bucket").distinct().collect())
+    if not buckets:
+        return buckets
+    new = cut_lineage(change(spark.read.parquet(path).where(F.col("bucket").isin(buckets))))
+    write_snapshot(new, path, ["bucket"])
+    left = {r.bucket for r in new.select("bucket").distinct().collect()}
+    for bucket in set(buckets) - left:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return buckets
+
+
+def upsert_into(path: str, incoming: DataFrame, order: str, buckets: int) -> list[int]:
+    """``upsert_points`` in place, for a table written with ``with_bucket`` and partitioned by it."""
+    placed = cut_lineage(with_bucket(incoming, buckets))
+    return rewrite_buckets(incoming.sparkSession, path, placed, lambda old: upsert_points(old, placed, order))
+
+
+def delete_from(path: str, version_ids: DataFrame, buckets: int) -> list[int]:
+    """``delete_versions`` in place, for a table written with ``with_bucket`` and partitioned by it."""
+    gone = cut_lineage(with_bucket(version_ids.select("version_id").distinct(), buckets))
+    return rewrite_buckets(version_ids.sparkSession, path, gone, lambda old: delete_versions(old, gone))

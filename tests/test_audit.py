@@ -123,3 +123,20 @@ def test_yearly_replacement(spark):
         "k1": ("new", "completed", None), "k2": ("new", "completed", None), "k3": ("new", "completed", None),
         "k4": ("new", "failed", "PDF_TEXT_NOT_FOUND"), "k5": ("rejected", "failed", "INDEXING_METADATA_INVALID"),
     }
+
+
+def test_long_runs_are_scanned_in_linear_time(spark):
+    import time
+
+    runs = ["a" * 1_000_000, "a" * 500_000 + "@" + "b" * 500_000, "a.b@c.dd+e@f.gg x@y.z@w.v " + "q" * 1000, "http://" + "a." * 200_000]
+    pages = spark.createDataFrame(list(enumerate(runs)), "id int, text string")
+    started = time.time()
+    found = audit.scan_contacts(pages, "id").collect()
+    assert time.time() - started < 20
+    assert sorted(r.detail for r in found if r.subject == "2") == ["email:+e@f.gg", "email:a.b@c.dd", "email:x@y.z"]
+
+
+def test_missing_sources_are_told(spark):
+    sources = spark.createDataFrame([("a", ("n", "e", "p"))], "source string, institution struct<name:string,email:string,phone:string>")
+    expected = spark.createDataFrame([("a", "n", "e", "p"), ("lost", "n", "e", "p")], "source string, expected_name string, expected_email string, expected_phone string")
+    assert [(r.check, r.subject) for r in audit.validate_source_consistency(sources, expected).collect()] == [("source_missing", "lost")]

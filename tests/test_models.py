@@ -54,7 +54,8 @@ def test_batches_and_failures(spark):
     assert [out[i].embed_error for i in range(10)] == [None] * 5 + ["EMBEDDING_GENERATION_FAILED"] + [None] * 4
     assert out[0].vector == [4.0] * 3 and out[9].vector == [2.0] * 3 and out[5].vector is None
     other = models.embed_documents(rows.where("text = 'x'"), embedder, dims=7).select("embed_error").distinct().collect()
-    assert [r.embed_error for r in other] == ["EMBEDDING_GENERATION_FAILED"]
+    # The batch is too large for this model, which takes the texts one by one.
+    assert [r.embed_error for r in other] == ["VECTOR_DIMENSION_MISMATCH"]
     small = models.embed_documents(rows.where("i < 4"), embedder, batch_size=4, dims=7).select("embed_error").distinct().collect()
     assert [r.embed_error for r in small] == ["VECTOR_DIMENSION_MISMATCH"]
 
@@ -104,3 +105,39 @@ def test_transient_column(spark):
         f"i int, e struct<name:string,code:string,status:int,cause:{cause}>",
     )
     assert [r.t for r in df.orderBy("i").select(validation.is_transient_error(F.col("e")).alias("t")).collect()] == [True, True, False, True]
+
+
+def test_passing_failures_as_python_raises_them():
+    import errno
+    import socket
+
+    class Response:
+        status_code = 503
+
+    class HttpError(Exception):
+        response = Response()
+
+    for problem in (ConnectionRefusedError(), ConnectionResetError(), BrokenPipeError(), socket.gaierror(), TimeoutError(), OSError(errno.ETIMEDOUT, "late"), HttpError()):
+        assert models.transient(problem), problem
+    for problem in (ValueError(), OSError(errno.ENOENT, "none"), FileNotFoundError(), None):
+        assert not models.transient(problem)
+
+
+def test_outage_is_told_apart_and_not_asked_again(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def decider():
+        def reply(_prompt, message):
+            with open(calls, "a") as log:
+                log.write(message + "\n")
+            if message == "down":
+                raise ValueError("no model")
+            return "not json"
+
+        return reply
+
+    contexts = spark.createDataFrame([("q1", "down", ["a"]), ("q2", "bad", ["a"])], "question_id string, message string, retrieved array<string>").coalesce(1)
+    decided = models.decide(contexts, decider)
+    for _ in range(2):  # a second reader repeats no call
+        assert {r.question_id: r.error_code for r in decided.collect()} == {"q1": "MODEL_UNAVAILABLE", "q2": "MODEL_OUTPUT_INVALID"}
+    assert sorted(open(calls).read().split()) == ["bad", "bad", "down"]

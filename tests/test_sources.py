@@ -1,4 +1,5 @@
 import datetime
+import glob
 import json
 import os
 
@@ -218,3 +219,40 @@ def test_evaluation(spark):
     }
     report = {r.expected_status: (r.questions, r.passed) for r in evaluation.eval_report(evaluated).collect()}
     assert report == {"found": (3, 1), "not_found": (2, 1), "ambiguous": (1, 1), None: (6, 3)}
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    path, schema = str(tmp_path / "points"), "point_id string, version_id string, text string"
+    points = spark.createDataFrame([(f"p{v}-{k}", f"v{v}", "old") for v in range(12) for k in range(3)], schema)
+    snapshots.write_snapshot(snapshots.with_bucket(points, 8), path, ["bucket"])
+
+    def files():
+        return {f for f in glob.glob(f"{path}/bucket=*/*.parquet")}
+
+    before = files()
+    incoming = spark.createDataFrame([("p3-0", "v3", "a", 1), ("p3-0", "v3", "new", 2), ("p3-9", "v3", "more", 1)], schema + ", seq int")
+    touched = snapshots.upsert_into(path, incoming, "seq", 8)
+    assert len(touched) == 1 and {f for f in before - files()} == {f for f in before if f"bucket={touched[0]}/" in f}
+    rows = {r.point_id: r.text for r in spark.read.parquet(path).collect()}
+    assert len(rows) == 37 and rows["p3-0"] == "new" and rows["p3-9"] == "more" and rows["p3-1"] == "old"
+    for gone in ([f"v{v}" for v in range(5)], [f"v{v}" for v in range(11)], []):
+        snapshots.delete_from(path, spark.createDataFrame([(v,) for v in gone], "version_id string"), 8)
+    assert {r.version_id for r in spark.read.parquet(path).collect()} == {"v11"}
+
+
+def test_source_names_are_those_of_the_files(spark, tmp_path):
+    (tmp_path / "matrícula nueva.json").write_text(json.dumps({"institution": {"name": "x"}, "pages": [{"heading": "H", "paragraphs": ["p"]}]}))
+    assert [r.source for r in corpus_json.read_sources(spark, str(tmp_path)).collect()] == ["matrícula nueva.json"]
+
+
+def test_files_below_a_rule_are_not_opened(spark, tmp_path):
+    for name, content in (("a.pdf", b"%PDF-ok"), ("b.PDF", b"%PDF-" + b"x" * 50), ("c.txt", b"text")):
+        (tmp_path / name).write_bytes(content)
+    rows = {os.path.basename(r.path): (r.error_code, r.content is not None) for r in fs.read_files(spark, str(tmp_path), max_bytes=20).collect()}
+    assert rows == {"a.pdf": (None, True), "b.PDF": ("PDF_TOO_LARGE", False), "c.txt": ("PDF_EXTENSION_INVALID", False)}
+
+
+def test_paths_lose_their_scheme(spark):
+    paths = ["file:/a/b.pdf", "file:///a/b.pdf", "store://host:80/a/b.pdf", "/a/b.pdf", "a:b/c.pdf"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string").select(fs.bare_path(F.col("path")).alias("p"))
+    assert [r.p for r in df.collect()] == ["/a/b.pdf"] * 4 + ["a:b/c.pdf"]
