@@ -1,8 +1,8 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
 Learned from labelled documents: each token's log-odds of toxic against clean documents under a Dirichlet prior, with its
-z-score; tokens of ``|z| < MIN_Z`` score 0 besides the drift that every token pays, the others their log-odds less some standard
-errors. A word that isn't telling itself counts by its beginning, if that is. A linear scan finds all maximal segments of positive
+z-score; tokens of a small z-score score 0 besides the drift that every token pays, the others their log-odds less some standard
+errors. How small is chosen from ``MIN_Z`` by the loss on the calibration rows. A word that isn't telling itself counts by its beginning, if that is. A linear scan finds all maximal segments of positive
 score in a text. The best segment's score, less what its text's length alone would give, is calibrated by a Gumbel
 (extreme-value) law fitted to clean documents; the log of its tail probability and the segment's score give the document's score
 by a logistic curve.
@@ -30,7 +30,7 @@ from acervo.llm.common import Batches, Bounded, Shared, batch_of, bound_batches,
 
 MAX_LABELLED = 20_000
 MAX_TOKENS = 50_000
-MIN_Z = 2.0
+MIN_Z = (2.0, 2.5, 3.0, 3.5)  # least z-scores of telling tokens to choose from
 PRIOR = 0.05  # weight of the Dirichlet prior against all counts; a token's part is its share of these
 DRIFT = 0.5
 SIGNIFICANT = 0.01
@@ -134,8 +134,8 @@ def probability(model: Model, scores: Bounded, text: bytes) -> float:
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, a + b * evidence + c * best))))
 
 
-def token_scores(train: DataFrame, max_tokens: int) -> dict[bytes, float]:
-    """Log-odds of tokens, counted once per document, whose z-score is large."""
+def token_scores(train: DataFrame, max_tokens: int) -> dict[bytes, tuple[float, float]]:
+    """Score and size of the z-score of tokens, counted once per document, whose z-score is large."""
     schema = pa.schema([("token", pa.binary()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
     def count(batches: Batches) -> Batches:
@@ -159,8 +159,8 @@ def token_scores(train: DataFrame, max_tokens: int) -> dict[bytes, float]:
     error = F.sqrt(1 / in_toxic + 1 / in_clean)
     sure = F.signum(odds) * (F.abs(odds) - CAUTION * error)
     scored = counted.filter("toxic + clean > 1").select("token", sure.alias("score"), (odds / error).alias("z"))
-    top = scored.filter(F.abs("z") >= MIN_Z).orderBy(F.abs("z").desc(), "token").limit(max_tokens)
-    return {bytes(r.token): float(r.score) for r in top.collect()}
+    top = scored.filter(F.abs("z") >= MIN_Z[0]).orderBy(F.abs("z").desc(), "token").limit(max_tokens)
+    return {bytes(r.token): (float(r.score), abs(float(r.z))) for r in top.collect()}
 
 
 def gumbel(best: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
@@ -191,26 +191,36 @@ def train_model(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
     """Tokens from three quarters of the training rows, calibration from the fourth, which the tokens haven't seen."""
     train = staged(training_rows(docs, labels, "toxic", held_out(5, 0), max_labelled).dropDuplicates(["text", "label"]))
     fold = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 3
-    scores = token_scores(train.filter(~fold), max_tokens)
-    model = Model(scores)
-    if not scores:
-        return model
-    schema = pa.schema([("best", pa.float64()), ("n", pa.int64()), ("label", pa.int32())])
+    tokens = token_scores(train.filter(~fold), max_tokens)
+    if not tokens:
+        return Model()
+    choices = [{t: s for t, (s, z) in tokens.items() if z >= least} for least in MIN_Z]
+    schema = pa.schema([("label", pa.int32()), ("n", pa.int64()), ("best", pa.list_(pa.float64()))])
 
     def measure(batches: Batches) -> Batches:
-        by_word = scorer(scores)
+        scorers = [scorer(scores) for scores in choices]
         for batch in batches:
-            pairs = [best_segment(text, by_word) for text in raw_texts(batch)]
-            yield batch_of(schema, [b for b, _ in pairs], [n for _, n in pairs], batch.column(2))
-
-    rows = train.filter(fold).mapInArrow(measure, "best double, n bigint, label int").toPandas()
-    clean = rows[rows.label == 0]
-    model.location, model.scale, model.growth = gumbel(clean.best.to_numpy(), clean.n.to_numpy())
-    if rows.label.nunique() == 2:
-        evidence = [tail(model, best, n) if best else 0.0 for best, n in zip(rows.best, rows.n, strict=True)]
-        a, b, c = logistic(np.minimum(np.column_stack([evidence, rows.best]), 50.0), rows.label.to_numpy(float))
-        model.weights, model.trained = (float(a), float(b), float(c)), True
-    return model
+            texts = raw_texts(batch)
+            best = [[best_segment(text, by_word)[0] for by_word in scorers] for text in texts]
+            yield batch_of(schema, batch.column(2), [len(tokens_of(text)) for text in texts], best)
+
+    rows = train.filter(fold).mapInArrow(measure, "label int, n bigint, best array<double>").toPandas()
+    if rows.label.nunique() < 2:
+        return Model()
+    bests = np.stack(rows.best.to_numpy())
+    fitted = [fit(scores, bests[:, k], rows.n.to_numpy(), rows.label.to_numpy()) for k, scores in enumerate(choices)]
+    return min(fitted, key=lambda pair: pair[0])[1]
+
+
+def fit(scores: dict[bytes, float], best: np.ndarray, n: np.ndarray, label: np.ndarray) -> tuple[float, Model]:
+    """The calibrated model of some token scores, with its log loss."""
+    model = Model(scores, trained=True)
+    model.location, model.scale, model.growth = gumbel(best[label == 0], n[label == 0])
+    x = np.minimum(np.column_stack([[tail(model, b, int(m)) if b else 0.0 for b, m in zip(best, n, strict=True)], best]), 50.0)
+    weights = logistic(x, label.astype(float))
+    model.weights = tuple(float(w) for w in weights)
+    p = np.clip(1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30))), 1e-9, 1 - 1e-9)
+    return float(-np.where(label == 1, np.log(p), np.log(1 - p)).mean()), model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
