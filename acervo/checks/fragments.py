@@ -68,11 +68,16 @@ def tokens(expr: str) -> str:
     )
 
 
-def content_words(expr: str) -> str:
-    from acervo.functions.text import STOP_WORDS
+# The words that don't count, spelt out for the SQL.
+STOP_SQL = (
+    "'el', 'la', 'los', 'las', 'un', 'una', 'de', 'del', 'en', 'y', 'e', 'o', 'u', 'a', 'ante', 'bajo', "
+    "'con', 'contra', 'para', 'por', 'que', 'cual', 'como', 'cuando', 'donde', 'es', 'se', 'su', 'lo', "
+    "'qué', 'cuál', 'cómo', 'cuándo', 'dónde', 'al', 'no' "
+)
 
-    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
-    return f"list_filter({tokens(expr)}, lambda w: length(w) > 2 AND w NOT IN ({stop}))"
+
+def content_words(expr: str) -> str:
+    return f"list_filter({tokens(expr)}, lambda w: length(w) > 2 AND w NOT IN ({STOP_SQL}))"
 
 
 def uuid5(name: str) -> str:

@@ -43,7 +43,5 @@ class Tables:
         return self.spark.read.parquet(self.path(name))
 
     def spread(self, name: str) -> DataFrame:
-        """A table whose rows are costly to process, over all cores even when it is one small file."""
-        df = getattr(self, name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+        """A table whose rows are costly to process, dealt over all cores."""
+        return getattr(self, name).repartition(self.spark.sparkContext.defaultParallelism)

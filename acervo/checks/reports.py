@@ -152,8 +152,9 @@ def _(t: Tables) -> DataFrame:
 
 # Contacts over texts and web pages; the tables hold phones of another country.
 PHONE = r"\+1 \(\d{3}\) \d{3}-\d{4}"
-_EMAIL_SQL = audit.EMAIL_PATTERN.replace("'", "''")
-_URL_SQL = audit.URL_PATTERN.replace("'", "''")
+# The patterns, spelt out for the SQL.
+_EMAIL_SQL = r"[a-zA-Z0-9.!#$%&''*+/=?^_`{|}~-]+@[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)+"
+_URL_SQL = r"https?://[a-zA-Z0-9.-]+(?:\.[a-zA-Z0-9.-]+)+(?:/[a-zA-Z0-9._~:/?#\[\]@!$&''()*+,;=-]*)?"
 
 
 def contacts_sql(source: str, domain: str, phone: str, allowed_phone: str) -> str:

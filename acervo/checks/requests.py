@@ -13,6 +13,7 @@ from acervo.operators import admission, validation
 from acervo.sources import ledger as lg
 from acervo.sources import snapshots as sn
 
+# Fixed values below, spelt out for the SQL: the forms of UUIDs, idempotency keys and academic years.
 _UUID_SQL = "'00000000-0000-4000-8000-'||lpad(CAST(c_custkey AS VARCHAR), 12, '0')"
 
 # Requests made from customers; each nation breaks another rule, or none.
@@ -213,9 +214,9 @@ def _(t: Tables) -> DataFrame:
 @check(
     "check_version_ownership",
     """WITH requests AS (SELECT o_orderkey AS seq, 'v'||o_custkey AS version_id, o_orderstatus AS document_id, o_orderpriority AS content_hash FROM orders),
-    known AS (SELECT 'v'||c_custkey AS version_id, 'O' AS document_id, '2-HIGH' AS content_hash,
+    known AS (SELECT 'v'||(c_custkey * 2) AS version_id, 'O' AS document_id, '2-HIGH' AS content_hash,
       CASE c_mktsegment WHEN 'BUILDING' THEN 'READY' WHEN 'MACHINERY' THEN 'ACTIVE' WHEN 'FURNITURE' THEN 'FAILED' ELSE 'INDEXING' END AS state
-      FROM customer WHERE c_mktsegment <> 'AUTOMOBILE'),
+      FROM customer),
     firsts AS (SELECT r.*, first_value(document_id) OVER w AS d, first_value(content_hash) OVER w AS h
                FROM requests r WINDOW w AS (PARTITION BY version_id ORDER BY seq))
     SELECT seq, f.version_id, CASE WHEN f.document_id <> coalesce(k.document_id, d) THEN 'other_document'
@@ -236,8 +237,9 @@ def _(t: Tables) -> DataFrame:
     state = (
         F.when(segment == "BUILDING", "READY").when(segment == "MACHINERY", "ACTIVE").when(segment == "FURNITURE", "FAILED")
     ).otherwise("INDEXING")
-    known = t.customer.where(segment != "AUTOMOBILE").select(
-        fr.version_id(c("c_custkey")).alias("version_id"),
+    # Customers' numbers are doubled, so that some versions are asked for and not known, and others known and not asked for.
+    known = t.customer.select(
+        fr.version_id(c("c_custkey") * 2).alias("version_id"),
         F.lit("O").alias("document_id"),
         F.lit("2-HIGH").alias("content_hash"),
         state.alias("state"),
@@ -269,7 +271,7 @@ def _(t: Tables) -> DataFrame:
     "upsert_documents",
     """WITH latest AS (SELECT o_custkey AS document_id, o_orderpriority AS title, o_orderstatus AS description, o_orderkey AS updated_at FROM orders
       QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1),
-    old AS (SELECT c_custkey AS document_id, c_name AS title, c_mktsegment AS description, CAST(-1 AS BIGINT) AS at FROM customer WHERE c_acctbal >= 0)
+    old AS (SELECT c_custkey * 2 AS document_id, c_name AS title, c_mktsegment AS description, CAST(-1 AS BIGINT) AS at FROM customer)
     SELECT coalesce(o.document_id, n.document_id) AS document_id, CASE WHEN n.updated_at IS NULL THEN o.title ELSE n.title END AS title,
       CASE WHEN n.updated_at IS NULL THEN o.description ELSE n.description END AS description,
       coalesce(o.at, n.updated_at) AS created_at, coalesce(n.updated_at, o.at) AS updated_at
@@ -277,8 +279,8 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     c = F.col
-    existing = t.customer.where(c("c_acctbal") >= 0).select(
-        c("c_custkey").alias("document_id"), c("c_name").alias("title"), c("c_mktsegment").alias("description"),
+    existing = t.customer.select(
+        (c("c_custkey") * 2).alias("document_id"), c("c_name").alias("title"), c("c_mktsegment").alias("description"),
         F.lit(-1).cast("bigint").alias("created_at"), F.lit(-1).cast("bigint").alias("updated_at"),
     )
     incoming = t.orders.select(

@@ -32,9 +32,10 @@ MIN_EXTRACTED_CHARACTERS = 20
 # Word separators and the words a question does not need to match on.
 TOKEN_SEPARATORS = ",¿?¡!.;:()"
 STOP_WORDS = (
-    "el la los las un una de del en y e o u a ante bajo con contra para por que cual "
-    "como cuando donde es se su lo qué cuál cómo cuándo dónde al no"
-).split()
+    "el", "la", "los", "las", "un", "una", "de", "del", "en", "y", "e", "o", "u", "a", "ante", "bajo", "con",
+    "contra", "para", "por", "que", "cual", "como", "cuando", "donde", "es", "se", "su", "lo", "qué", "cuál",
+    "cómo", "cuándo", "dónde", "al", "no",
+)
 # ----------------------------------------------------------------------------
 
 _NOISE = r"[\p{Cc}\p{Cf}&&[^\p{IsWhite_Space}]]"
