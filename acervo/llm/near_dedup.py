@@ -220,4 +220,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents with one of each component, columns as they were; a repeated row stays once. Rows without doc_id stay."""
     kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
