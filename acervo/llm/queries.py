@@ -64,7 +64,7 @@ def op9(spark, sf_dir):
     WITH queries AS (SELECT vec_id AS query_id, embedding AS asked FROM embeddings WHERE vec_id % 100 = 0),
     held AS (
         SELECT query_id, vec_id,
-            list_sum(list_transform(range(1, 65), i -> CASE WHEN (asked[i] > 0) <> (embedding[i] > 0) THEN 1 ELSE 0 END))::BIGINT AS distance
+            list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (asked[i] > 0) <> (embedding[i] > 0) THEN 1 ELSE 0 END))::BIGINT AS distance
         FROM queries, embeddings),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM held)
     SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
