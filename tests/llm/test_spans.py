@@ -123,6 +123,34 @@ def test_trees_choose_candidates_of_a_learnt_shape(spark):
     assert sum(r["n_other"] for r in rows if r["doc_id"] is not None and r["doc_id"] > 181) == 0
 
 
+ACCOUNTS = ("DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "ES9121000418450200051332", "FR14 2004 1010 0505 0001 3M02 606")
+
+
+def test_account_numbers_come_out(spark):
+    some = [f"acct {value} PH {k}, see AB12 {value}" for k, value in enumerate(ACCOUNTS)] + ["acct DE88 3704 0044 0532 0130 00 x"]
+    rows = {r["doc_id"]: r for r in rows_of(personal_data.find_personal_data(documents(spark, some)))}
+    for k, value in enumerate(ACCOUNTS):
+        assert [some[k][s:e] for s, e, kind in parsed(rows[k * 3 + 1]["spans"]) if kind == "other"] == [value, value]
+    assert rows[len(ACCOUNTS) * 3 + 1]["n_other"] == 0
+
+
+def test_phone_with_00_comes_out(spark):
+    good = [f"call me on +{30 + k % 60} {1500 + 7 * k} {3456789 + 1111 * k} or +{40 + k % 9} 1512 {345678 + k} today" for k in range(80)]
+    bad = [f"order number {4111111111111100 + 7 * k} here and {1234 + k} {5678 + k} {9012 + k} {3456 + k} there" for k in range(80)]
+    some = [*good, *bad, "call me on 0049 1512 3456789 today", "call me on (0034) 1512 3456 789 today"]
+    rows = {r["doc_id"]: r for r in rows_of(personal_data.find_personal_data(documents(spark, some)))}
+    for k, value in ((160, "0049 1512 3456789"), (161, "(0034) 1512 3456 789")):
+        assert [some[k][s:e] for s, e, kind in parsed(rows[k * 3 + 1]["spans"]) if kind == "other"] == [value]
+    assert sum(rows[k * 3 + 1]["n_other"] for k in range(80, 160)) == 0
+
+
+def test_only_a_failed_span_itself_is_refuted():
+    text = b"DE89 3704 0044 0532 0130 00 id 0049 1512 3456789 no 4111111111111112 at example dot com"
+    state = {text[s:e]: personal_data.checked(text, s, e, g) for s, e, g in personal_data.candidates(text)}
+    assert state[b"4111111111111112"] and not state[b"0049 1512 3456789"] and not state[b"89 3704 0044 0532 0130 00"]
+    assert not state[b"4111111111111112 at example dot com"]
+
+
 def test_empty(spark):
     assert rows_of(secrets.find_secrets(empty(spark))) == []
     assert rows_of(personal_data.find_personal_data(empty(spark))) == []
