@@ -2,8 +2,9 @@
 
 The fixed patterns give the base spans. Beyond these, a value that follows a credential word (``CONTEXT``) is a secret when its
 guess cost is high: the least log10 of guesses over all ways to cut it into dictionary words, dates, repeats, keyboard walks and
-brute-force spans, by dynamic programming over its characters. The dictionary holds a few fixed words and the letter runs that
-occur most in credential contexts of the whole corpus, with their ranks as cost: a placeholder used everywhere is cheap.
+brute-force spans, by dynamic programming over its characters. The dictionary holds a few fixed words and the letter runs of at
+least ``MIN_VALUES`` different values in credential contexts of the whole corpus; the rarer among all different values, the
+dearer. How often a value occurs does not matter, so a secret stays one in any number of copies.
 
 Defined cases: a null text is empty and has no span. A row without doc_id is scanned like any other. Repeated rows get a row
 each; an empty table gives an empty result.
@@ -11,6 +12,7 @@ each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -24,7 +26,7 @@ from acervo.llm.common import Batches, Cover, Shared, batch_of, bound_batches, c
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LENGTH = {"assign": 12, "access": 18, "hex": 16}
 MIN_COST = 9.0
-MAX_WORDS = 20_000
+MIN_VALUES = 10  # different values that teach a letter run
 LONGEST_VALUE = 128  # characters of a value that the cost looks at; more only add cost
 REDACTED = b"[SECRET]"
 
@@ -39,6 +41,7 @@ CONTEXT = re.compile(
     rb"""(?:\x20*[:=]\x20*(?:bearer\x20+|basic\x20+)?["']?|\x20+is\x20+["']?)([!-&(-+\--~]{8,})""",
     re.I,
 )
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 LETTERS = re.compile(rb"[a-z]{3,}")
 DATE = re.compile(rb"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 ROWS = (b"1234567890", b"qwertyuiop", b"asdfghjkl", b"zxcvbnm", b"abcdefghijklmnopqrstuvwxyz")
@@ -51,17 +54,26 @@ WALK_STARTS = math.log10(2 * sum(len(row) for row in ROWS))
 NEIGHBOURS = {pair for row in ROWS for a, b in zip(row, row[1:], strict=False) for pair in ((a, b), (b, a))}
 
 
-def dictionary(counted: list[bytes]) -> dict[bytes, float]:
-    """log10 of a word's rank: fixed words first, then those given, commonest first."""
-    words = dict.fromkeys([*(w.encode() for w in WORDS), *counted])
-    return {word: math.log10(rank + 2) for rank, word in enumerate(words)}
+class Words(dict):
+    """Words with their cost, and the length of the longest."""
 
+    def __init__(self, costs: dict[bytes, float]):
+        super().__init__(costs)
+        self.longest = max(map(len, self), default=0)
 
-def guess_cost(value: bytes, words: dict[bytes, float]) -> float:
+
+def dictionary(ranked: list[bytes], priced: dict[bytes, float] | None = None) -> Words:
+    """log10 of a word's rank: fixed words first, then those given, commonest first; or the cost given, where that is less."""
+    words = dict.fromkeys([*(w.encode() for w in WORDS), *ranked])
+    costs = {word: math.log10(rank + 2) for rank, word in enumerate(words)}
+    return Words(costs | {word: min(cost, costs.get(word, cost)) for word, cost in (priced or {}).items()})
+
+
+def guess_cost(value: bytes, words: Words) -> float:
     """Least log10 of guesses over all segmentations of the value; each further segment costs a little, too."""
     value = value[:LONGEST_VALUE]
     n, lower = len(value), value.lower()
-    longest = max(map(len, words), default=0)
+    longest = words.longest
     segments: list[list[tuple[int, float]]] = [[] for _ in range(n)]  # by start: (end, cost)
     for start in range(n):
         for end in range(start + 3, min(n, start + longest) + 1):
@@ -111,7 +123,7 @@ def base_spans(text: bytes) -> list[tuple[int, int, str]]:
     return out
 
 
-def guessed_spans(text: bytes, words: dict[bytes, float], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+def guessed_spans(text: bytes, words: Words, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Costly values in credential context that no base span covers."""
     if not (values := context_values(text)):
         return []
@@ -119,24 +131,31 @@ def guessed_spans(text: bytes, words: dict[bytes, float], base: list[tuple[int,
     return [(a, b, "guess") for a, b in values if not covered.overlaps(a, b) and guess_cost(text[a:b], words) >= MIN_COST]
 
 
-def common_words(docs: DataFrame, max_words: int = MAX_WORDS) -> list[bytes]:
-    """The letter runs in most credential contexts of the whole corpus, at least two, commonest first; at most ``max_words``."""
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+def learnt_words(docs: DataFrame) -> dict[bytes, float]:
+    """Letter runs of at least ``MIN_VALUES`` different context values of the whole corpus: log10 of 1 + all values / those with it.
+
+    Values that differ in case or in marks at their ends only are one. Runs that cost no less than their single letters are left
+    out, as they could change no result.
+    """
+    schema = pa.schema([("value", pa.binary()), ("word", pa.binary())])
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            counts: Counter = Counter()
-            for text in raw_texts(batch):
-                counts.update({w for a, b in context_values(text) for w in LETTERS.findall(text[a:b].lower())})
-            yield batch_of(schema, list(counts), list(counts.values()))
+            values = {text[a:b].lower().strip(MARKS) for text in raw_texts(batch) for a, b in context_values(text)}
+            # The empty word stands for the value itself.
+            pairs = [(hashlib.blake2b(v, digest_size=16).digest(), w) for v in values for w in {b"", *LETTERS.findall(v)}]
+            yield batch_of(schema, [v for v, _ in pairs], [w for _, w in pairs])
 
-    counted = id_text(docs).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
-    return [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(max_words).collect()]
+    each = id_text(docs).mapInArrow(run, "value binary, word binary").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = {bytes(r.word): r.n for r in each.filter((F.col("n") >= MIN_VALUES) | (F.octet_length("word") == 0)).collect()}
+    total = counts.pop(b"", 0)
+    costs = {word: math.log10(1 + total / n) for word, n in counts.items()}
+    return {word: cost for word, cost in costs.items() if cost + 0.3 < len(word) * LOG_CARDINALITY["lower"]}
 
 
-def find_secrets(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
+def find_secrets(docs: DataFrame) -> DataFrame:
     """A row per document: counts by kind, the digest of base spans, all spans, costs are of kind ``guess``."""
-    shared = Shared(docs.sparkSession, dictionary(common_words(docs, max_words)))
+    shared = Shared(docs.sparkSession, dictionary([], learnt_words(docs)))
     schema = pa.schema(
         [("doc_id", pa.int64()), *((f"n_{kind}", pa.int64()) for kind in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())]
     )
@@ -173,9 +192,9 @@ def redact(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def redact_secrets(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
+def redact_secrets(docs: DataFrame) -> DataFrame:
     """The documents with every secret replaced, columns as they were; ``n_chars``, where given, is that of the new text."""
-    shared = Shared(docs.sparkSession, dictionary(common_words(docs, max_words)))
+    shared = Shared(docs.sparkSession, dictionary([], learnt_words(docs)))
     bound_batches(docs)
     at = docs.columns.index("text")
 

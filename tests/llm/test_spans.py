@@ -100,6 +100,15 @@ def test_guessed_values_and_cheap_placeholders(spark):
     assert "9fK#2mQ!x8Lz" in values and "a8Fk2LmQz91xPPw3" in values and "changeme123" not in values
 
 
+@pytest.mark.parametrize("copies", [1, 2, 1000])
+def test_a_secret_in_copies_stays_one(spark, copies):
+    text = "log in with pwd: kfjqzmwxtr today"
+    some = [text] * copies + [f"other page {k} pwd: kfjqzmwxtr, as said" for k in range(copies)] + [f"page {k} pwd: sunflower{k % 7}{k}" for k in range(40)]
+    rows = {r["doc_id"]: r for r in rows_of(secrets.find_secrets(documents(spark, some))) if r["doc_id"] is not None}
+    assert {rows[k * 3 + 1]["n_guess"] for k in range(2 * copies)} == {1}
+    assert {rows[k * 3 + 1]["n_guess"] for k in range(2 * copies, len(some))} == {0}
+
+
 def test_redaction_keeps_the_rest(spark):
     docs = documents(spark, SECRET_TEXTS)
     out = secrets.redact_secrets(docs)
