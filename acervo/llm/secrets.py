@@ -1,6 +1,6 @@
 """Secrets: three fixed patterns, and values in credential context that are costly to guess.
 
-The fixed patterns give the base spans. Beyond these, a value that follows a credential word (``CONTEXT``) is a secret when its
+The fixed patterns give the base spans. Beyond these, a value that follows a name with a credential word (``KEYWORD``) is a secret when its
 guess cost is high: the least log10 of guesses over all ways to cut it into dictionary words, dates, repeats, keyboard walks and
 brute-force spans, by dynamic programming over its characters. The dictionary holds a few fixed words and the letter runs of at
 least ``MIN_VALUES`` different values in credential contexts of the whole corpus; the rarer among all different values, the
@@ -36,11 +36,21 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{16,}")
 
 HINT = re.compile(rb"passw|passphrase|secret|token|api_?key|credential|pwd|private_?key|access_?key|auth")
-CONTEXT = re.compile(
-    rb"""\b(?:password|passwd|passphrase|secret|token|api[_-]?key|credentials?|pwd|private[_-]?key|access[_-]?key|auth(?:orization)?)\b["']?"""
-    rb"""(?:\x20*[:=]\x20*(?:bearer\x20+|basic\x20+)?["']?|\x20+is\x20+["']?)([!-&(-+\--~]{8,})""",
+# A name: the credential word at its start or after a part of it, then further parts; camel case parts words, too.
+KEYWORD = re.compile(
+    rb"""(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z])))"""
+    rb"""(?:password|passwd|passphrase|secret|token|api[_-]?key|credentials?|pwd|private[_-]?key|access[_-]?key|auth(?:orization)?)""",
     re.I,
 )
+NAME_REST = re.compile(rb"(?:s(?![A-Za-z]))?(?:(?:[0-9_.-]|(?<=[a-z])[A-Z])[A-Za-z0-9_.-]*+|(?![A-Za-z]))")
+# After the name: a value up to the closing quote, or to white space. Marks at the end that close a list or a quote are not of it.
+VALUE = re.compile(
+    rb"""["']?(?:\x20*[:=]\x20*(?:bearer\x20+|basic\x20+)?|\x20+is\x20+)(?:"([^\s"]+)|'([^\s']+)|([^\s"']\S*(?<![,"'])))""",
+    re.I,
+)
+MIN_CHARACTERS = 8  # of a value in credential context
+CONTINUED = bytes(range(0x80, 0xC0))
+WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 LETTERS = re.compile(rb"[a-z]{3,}")
 DATE = re.compile(rb"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
@@ -107,10 +117,25 @@ def brute(c: int) -> float:
 
 
 def context_values(text: bytes) -> list[tuple[int, int]]:
-    """Values after a credential word."""
+    """Values after a name with a credential word in it."""
     if HINT.search(text.lower()) is None:
         return []
-    return [m.span(1) for m in CONTEXT.finditer(text)]
+    out, at = [], 0
+    while (word := KEYWORD.search(text, at)) is not None:
+        at = word.end()
+        if (rest := NAME_REST.match(text, at)) is None:
+            continue
+        # Further words in this name end where it ends, so that no name is read twice.
+        at = rest.end()
+        if (m := VALUE.match(text, at)) is None:
+            continue
+        start, end = m.span(m.lastindex)
+        if (space := WIDE_SPACE.search(text, start, end)) is not None:
+            end = space.start()
+        if len(text[start:end].translate(None, CONTINUED)) >= MIN_CHARACTERS:
+            out.append((start, end))
+            at = end
+    return out
 
 
 def base_spans(text: bytes) -> list[tuple[int, int, str]]:

@@ -109,6 +109,24 @@ def test_a_secret_in_copies_stays_one(spark, copies):
     assert {rows[k * 3 + 1]["n_guess"] for k in range(2 * copies, len(some))} == {0}
 
 
+def test_names_and_values_of_credentials(spark):
+    cases = {
+        "DB_PASSWORD=9fK#2mQ! x": "9fK#2mQ!",
+        "client_secret: q7#Rv!p2Zk x": "q7#Rv!p2Zk",
+        "my_api_key=zQ8@kf!2pw": "zQ8@kf!2pw",
+        "dbPassword='a,9fK#2mQ!' x": "a,9fK#2mQ!",
+        'aws_secret_access_key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzq81LmKx0w"': "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzq81LmKx0w",
+        "aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYzq81LmKx0w": "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzq81LmKx0w",
+        "pwd: pässwörd9#Kx\u3000next": "pässwörd9#Kx",
+        "pwd: x'9fK#2m,Q8Lz, next": "x'9fK#2m,Q8Lz",
+    }
+    none = ["the secretary is kfjqzmwxtr", "AUTHOR: kfjqzmwxtr", "tokenizer = kfjqzmwxtr", "pwd: äöüäöü", "token_" * 20_000]
+    rows = {r["doc_id"]: r for r in rows_of(secrets.find_secrets(documents(spark, [*cases, *none])))}
+    for k, (text, value) in enumerate(cases.items()):
+        assert [text[s:e] for s, e, kind in parsed(rows[k * 3 + 1]["spans"])] == [value]
+    assert {rows[k * 3 + 1]["n_guess"] for k in range(len(cases), len(cases) + len(none))} == {0}
+
+
 def test_redaction_keeps_the_rest(spark):
     docs = documents(spark, SECRET_TEXTS)
     out = secrets.redact_secrets(docs)
