@@ -27,7 +27,6 @@ KINDS = ("assign", "access", "hex", "guess")
 MIN_LENGTH = {"assign": 12, "access": 18, "hex": 16}
 MIN_COST = 9.0
 MIN_VALUES = 10  # different values that teach a letter run
-LONGEST_VALUE = 128  # characters of a value that the cost looks at; more only add cost
 REDACTED = b"[SECRET]"
 
 # Fixed patterns of the base spans; the matches shorter than MIN_LENGTH are dropped after matching.
@@ -80,34 +79,57 @@ def dictionary(ranked: list[bytes], priced: dict[bytes, float] | None = None) ->
 
 
 def guess_cost(value: bytes, words: Words) -> float:
-    """Least log10 of guesses over all segmentations of the value; each further segment costs a little, too."""
-    value = value[:LONGEST_VALUE]
+    """Least log10 of guesses over all segmentations of the value; each further segment costs a little, too.
+
+    The programme ends early where no way is left at or below ``MIN_COST``; the result is then a lower bound above it.
+    """
     n, lower = len(value), value.lower()
-    longest = words.longest
-    segments: list[list[tuple[int, float]]] = [[] for _ in range(n)]  # by start: (end, cost)
-    for start in range(n):
-        for end in range(start + 3, min(n, start + longest) + 1):
-            if (cost := words.get(lower[start:end])) is not None:
-                changed = value[start:end] != lower[start:end]
-                segments[start].append((end, cost + changed * math.log10(2 + end - start)))
-        if (date := DATE.match(value, start)) is not None:
-            segments[start].append((date.end(), math.log10(365 * 120) if date.end() - start > 4 else math.log10(120)))
-        end = start + 1
-        while end < n and (lower[end - 1], lower[end]) in NEIGHBOURS:
-            end += 1
-            if end - start >= 3:
-                segments[start].append((end, WALK_STARTS + math.log10(end - start)))
-        for period in (1, 2, 3, 4):
-            end = start + period
-            while end < n and value[end] == value[end - period]:
-                end += 1
-                if end - start >= 3 and (end - start) >= 2 * period:
-                    segments[start].append((end, sum(brute(c) for c in value[start : start + period]) + math.log10(end - start)))
     least = [0.0] + [math.inf] * n
+    far = hope = 0  # the last place reached, and an open place from which a cheap way may go on
+    runs: dict[int, list] = {}  # by period of a repeat, 0 for walks: end of the run, and the start and cost that are best for it
+
+    def spread(kind: int, start: int, stop: int, shortest: int, cost: float) -> None:
+        """Segments from here to all ends of a run, as far as they can be better than those from the best start before."""
+        nonlocal far
+        best, last = runs[kind], stop
+        if best[1] is not None and (more := cost - best[2]) > 0:
+            # The logarithms of both lengths differ by less than ``more`` from here on.
+            last = min(stop, start + 1 + int((start - best[1]) / (10 ** min(more, 300) - 1)))
+        if last == stop:
+            best[1:] = start, cost
+        for end in range(start + shortest, last + 1):
+            least[end] = min(least[end], cost + math.log10(end - start) + 0.3)
+        far = max(far, last)
+
     for start in range(n):
-        least[start + 1] = min(least[start + 1], least[start] + brute(value[start]))
-        for end, cost in segments[start]:
-            least[end] = min(least[end], least[start] + cost + 0.3)
+        if least[start] > MIN_COST and (hope <= start or least[hope] > MIN_COST):
+            hope = min(range(start, far + 1), key=least.__getitem__)
+            if least[hope] > MIN_COST:
+                return least[hope]
+        here = least[start]
+        far = max(far, start + 1)
+        least[start + 1] = min(least[start + 1], here + brute(value[start]))
+        if 97 <= lower[start] <= 122:
+            for end in range(start + 3, min(n, start + words.longest) + 1):
+                if (cost := words.get(lower[start:end])) is not None:
+                    changed = value[start:end] != lower[start:end]
+                    least[end] = min(least[end], here + cost + changed * math.log10(2 + end - start) + 0.3)
+                    far = max(far, end)
+        if (date := DATE.match(value, start)) is not None:
+            end = date.end()
+            least[end] = min(least[end], here + (math.log10(365 * 120) if end - start > 4 else math.log10(120)) + 0.3)
+            far = max(far, end)
+        for kind in range(5):
+            step = kind or 1
+            run = runs.setdefault(kind, [0, None, 0.0])
+            if start + step > run[0]:
+                end = start + step
+                while end < n and ((lower[end - 1], lower[end]) in NEIGHBOURS if kind == 0 else value[end] == value[end - kind]):
+                    end += 1
+                run[:] = [end, None, 0.0]
+            shortest = max(3, 2 * kind)
+            if run[0] - start >= shortest:
+                spread(kind, start, run[0], shortest, here + (sum(map(brute, value[start : start + kind])) if kind else WALK_STARTS))
     return least[n]
 
 

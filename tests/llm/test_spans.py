@@ -1,6 +1,7 @@
 """Secrets and personal data against plain patterns over texts in code points."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -127,6 +128,39 @@ def test_names_and_values_of_credentials(spark):
     assert {rows[k * 3 + 1]["n_guess"] for k in range(len(cases), len(cases) + len(none))} == {0}
 
 
+def every_segmentation(value, words):
+    """guess_cost by its definition, over all pairs of places."""
+    n, low = len(value), value.lower()
+    least = [0.0] + [float("inf")] * n
+    for a in range(n):
+        least[a + 1] = min(least[a + 1], least[a] + secrets.brute(value[a]))
+        for b in range(a + 3, n + 1):
+            costs, length = [], secrets.math.log10(b - a)
+            if low[a:b] in words:
+                costs.append(words[low[a:b]] + (value[a:b] != low[a:b]) * secrets.math.log10(2 + b - a))
+            if all((x, y) in secrets.NEIGHBOURS for x, y in zip(low[a:b], low[a + 1 : b], strict=False)):
+                costs.append(secrets.WALK_STARTS + length)
+            costs += [sum(map(secrets.brute, value[a : a + p])) + length for p in (1, 2, 3, 4) if b - a >= 2 * p and value[a : b - p] == value[a + p : b]]
+            if (date := secrets.DATE.match(value, a)) is not None and date.end() == b:
+                costs.append(secrets.math.log10(365 * 120 if b - a > 4 else 120))
+            least[b] = min([least[b], *(least[a] + c + 0.3 for c in costs)])
+    return least[n]
+
+
+def test_guess_cost_of_whole_values():
+    rng = random.Random(5)
+    words = secrets.dictionary([b"sunshine", b"abab", b"x" * 150, bytes(rng.choices(b"klmnopqrstuv", k=150))])
+    long = max(words, key=len)
+    run = max((w for w in words if len(w) == 150 and w != b"x" * 150), key=len)
+    assert len(long) == 150 and secrets.guess_cost(run, words) < 5 and secrets.guess_cost(b"1" * 100 + run, words) < secrets.MIN_COST
+    pieces = [b"abab", b"sunshine", b"SunShine", b"aaaa", b"a", b"qwer", b"trewq", b"1212", b"123", b"2019", b"20190412", b"x", b"!", b"zzzzzzzzz", b"abcabc", b"\xc3\xa4"]
+    values = [b"".join(rng.choices(pieces, k=rng.randint(1, 9))) for _ in range(400)] + [b"a" * 140 + b"sunshine", b"qw" * 90 + b"2019"]
+    for value in values:
+        want, got = every_segmentation(value, words), secrets.guess_cost(value, words)
+        assert got == pytest.approx(want) if want <= secrets.MIN_COST else secrets.MIN_COST < got <= want + 1e-9, value
+    assert secrets.guess_cost(b"ab" * 100_000, words) < secrets.MIN_COST < secrets.guess_cost(b"ab" * 100_000 + b"9fK#2mQ!x8Lz", words)
+
+
 def test_redaction_keeps_the_rest(spark):
     docs = documents(spark, SECRET_TEXTS)
     out = secrets.redact_secrets(docs)
