@@ -15,7 +15,7 @@ from acervo.sources import snapshots as sn
 @check("read_files")
 def _(t: Tables) -> DataFrame:
     """The files of the given tables themselves, all of them; their bytes are beyond SQL that doesn't know the folder (see test_sources)."""
-    read = files.hash_content(files.read_files(t.spark, t.folder, max_bytes=2 << 20, ext=".parquet"))
+    read = files.hash_content(files.read_files(t.spark, t.folder, ext=".parquet"))
     return read.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "error_code", "content_hash")
 
 

@@ -256,3 +256,14 @@ def test_paths_lose_their_scheme(spark):
     paths = ["file:/a/b.pdf", "file:///a/b.pdf", "store://host:80/a/b.pdf", "/a/b.pdf", "a:b/c.pdf"]
     df = spark.createDataFrame([(p,) for p in paths], "path string").select(fs.bare_path(F.col("path")).alias("p"))
     assert [r.p for r in df.collect()] == ["/a/b.pdf"] * 4 + ["a:b/c.pdf"]
+
+
+def test_read_files_query_hashes_files_beyond_2_mib(spark, tmp_path):
+    import hashlib
+
+    from acervo.checks import CHECKS, Tables
+
+    data = bytes(range(256)) * (3 << 12)
+    (tmp_path / "large.parquet").write_bytes(data)
+    (row,) = CHECKS["read_files"].build(Tables(spark, str(tmp_path))).collect()
+    assert (row.length, row.error_code, row.content_hash) == (3 << 20, None, hashlib.sha256(data).hexdigest())
