@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acervo.llm import bpe, code_search, decontamination, near_dedup, personal_data, quality, secrets, substring_dedup, token_counts, toxicity
+from acervo.llm import (
+    alignment, bpe, code_search, decontamination, languages, merkle, near_dedup, personal_data, quality, secrets, substring_dedup, token_counts,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,3 +90,19 @@ def op2(spark, sf_dir):
 @query("op8_substring_dedup")
 def op8(spark, sf_dir):
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op11_language_id")
+def op11(spark, sf_dir):
+    return languages.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op12_cross_tokenizer_alignment")
+def op12(spark, sf_dir):
+    tools = alignment.tokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.align(table(spark, sf_dir, "documents"), tools)
+
+
+@query("op13_merkle_manifest", merkle.SQL)
+def op13(spark, sf_dir):
+    return merkle.verified(table(spark, sf_dir, "documents"))
