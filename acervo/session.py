@@ -41,6 +41,12 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its store, as a plain path means the cluster's default one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a result to the shared folder as a table and go on from there.
 

@@ -1,12 +1,16 @@
+import contextlib
+import io
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from acervo.functions import vectors
+from acervo.functions import bloom, vectors
 from acervo.operators import retrieval
 from acervo.plans import ask as asking
+from acervo.sources import snapshots
 
-FORMS = [{}, {"question_block": 7}]
+FORMS = [{}, {"question_block": 7}, {"question_block": 7, "max_tasks": 1}]
 
 
 def brute(questions, points, k, threshold):
@@ -57,6 +61,76 @@ def test_vectors_of_another_size_and_nulls_are_refused(spark):
         retrieval.vector_topk(frame(spark, "question_id", [("q", [1, 0]), ("r", [1])]), frame(spark, "point_id", [("a", [1, 0])]))
 
 
+def shown_plan(df):
+    with contextlib.redirect_stdout(io.StringIO()) as told:
+        df.explain()
+    return told.getvalue()
+
+
+@pytest.mark.parametrize("held_bytes", [0, 3000, 1 << 20])
+def test_blocks_beyond_memory_are_read_again(spark, monkeypatch, held_bytes):
+    monkeypatch.setattr(retrieval, "HELD_BYTES", held_bytes)
+    monkeypatch.setattr(retrieval, "CHUNK_BYTES", 2000)
+    rng = np.random.default_rng(5)
+    points = [(f"p{i:03}", rng.integers(-3, 4, 8)) for i in range(300)]
+    questions = [(f"q{i:03}", rng.integers(-3, 4, 8)) for i in range(100)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        hits = retrieval.vector_topk(frame(spark, "question_id", questions), frame(spark, "point_id", points), 4, 0.1, question_block=9)
+        assert {(r.question_id, r.point_id, round(r.score, 6) + 0.0, r["rank"]) for r in hits.collect()} == brute(questions, points, 4, 0.1)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_one_scan_of_points_for_any_number_of_questions(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    frame(spark, "point_id", [(f"p{i}", rng.normal(size=4)) for i in range(50)]).write.parquet(str(tmp_path / "points"))
+    points = spark.read.parquet(str(tmp_path / "points"))
+    questions = frame(spark, "question_id", [(f"q{i}", rng.normal(size=4)) for i in range(60)])
+    plan = shown_plan(retrieval.vector_topk(questions, points, question_block=2))
+    assert plan.count("FileScan") == 1 and plan.count("MapInArrow") == 1 and "Union" not in plan
+    # The points are searched where they are scanned: the only exchange deals out hits.
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("MapInArrow")
+
+
+def test_payload_of_many_hits(spark, monkeypatch, tmp_path):
+    points = spark.createDataFrame([(f"p{i}", f"text {i}", [1.0]) for i in range(500)], "point_id string, text string, vector array<float>")
+    hits = spark.createDataFrame([(f"q{i}", f"p{i * 7}", 0.5, 1) for i in range(60)], "question_id string, point_id string, score double, rank int")
+    want = sorted((r.question_id, r.point_id, f"text {r.point_id[1:]}") for r in hits.collect())
+    for few in (1000, 10):
+        monkeypatch.setattr(retrieval, "FEW_HITS", few)
+        full = retrieval.with_payload(hits, points)
+        assert "vector" not in full.columns
+        assert sorted((r.question_id, r.point_id, r.text) for r in full.collect()) == want
+    # Without a broadcast, only points that may be hit reach the exchange ...
+    monkeypatch.setattr(retrieval, "FEW_HITS", 10)
+    points.write.parquet(str(tmp_path / "points"))
+    stored = spark.read.parquet(str(tmp_path / "points"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        filtered = [line for line in shown_plan(retrieval.with_payload(hits, stored)).splitlines() if "Filter" in line and "subquery" in line.lower()]
+        assert filtered
+        # ... and points bucketed by their id are not shuffled at all.
+        snapshots.save_bucketed(stored, "payload_by_point", 4, str(tmp_path / "bucketed"), key="point_id")
+        monkeypatch.setattr(retrieval, "FEW_HITS", 1000)
+        plan = shown_plan(retrieval.with_payload(hits, spark.table("payload_by_point")))
+        # The one exchange is that of the hits, which come before the points in the plan.
+        assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("text#", plan.index("FileScan"))
+        assert "text" not in plan[plan.index("Exchange") :].split("FileScan")[1].split("ReadSchema")[1].splitlines()[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS payload_by_point")
+
+
+def test_bloom_filter_loses_no_key(spark):
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(0, 3000, 3)] + [(None,)], "key string")
+    asked = spark.createDataFrame([(f"k{i}", i) for i in range(3000)] + [(None, -1)], "asked string, i int")
+    for bits, most in ((bloom.BITS, 1010), (1 << 14, 1200), (64, 3000)):
+        passed = {r.i for r in asked.where(bloom.might_contain(keys, "key", F.col("asked"), bits)).collect()}
+        assert set(range(0, 3000, 3)) <= passed and len(passed) <= most and -1 not in passed
+    assert asked.where(bloom.might_contain(keys.where("key = 'none'"), "key", F.col("asked"))).count() == 0
+
+
 def test_scope_keeps_only_listed_versions(spark):
     points = spark.createDataFrame([("p1", "v1"), ("p2", "v2"), ("p3", "v1")], "point_id string, version_id string")
     one = spark.createDataFrame([("v1",), ("v9",)], "version_id string")
