@@ -19,6 +19,24 @@ def _(t: Tables) -> DataFrame:
     return read.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "error_code", "content_hash")
 
 
+# Each supplier is a file, asked for beside a path that names none. Its text ends with a line feed.
+@check(
+    "wanted_files",
+    """WITH given AS (SELECT s_suppkey, concat_ws(' ', s_suppkey, s_name, s_nationkey)||chr(10) AS content FROM supplier)
+    SELECT s_suppkey, CAST(strlen(content) AS BIGINT) AS length, sha256(content) AS content_hash, CAST(NULL AS VARCHAR) AS error_code FROM given
+    UNION ALL SELECT -s_suppkey, NULL, NULL, 'PDF_REQUIRED' FROM given""",
+)
+def _(t: Tables) -> DataFrame:
+    c = F.col
+    out = shared_dir(t.spark, "supplier-files")
+    text = F.concat_ws(" ", c("s_suppkey").cast("string"), "s_name", c("s_nationkey").cast("string"))
+    t.supplier.select(text.alias("value"), c("s_suppkey").alias("k")).write.partitionBy("k").text(out)
+    paths = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out).select("path")
+    asked = paths.unionByName(paths.select(F.regexp_replace("path", r"/k=(\d+)/", "/k=-$1/").alias("path")))
+    read = files.hash_content(files.wanted_files(t.spark, asked, ext=".txt"))
+    return read.select(F.regexp_extract("path", r"/k=(-?\d+)/", 1).cast("bigint").alias("s_suppkey"), "length", "content_hash", "error_code")
+
+
 def _written(t: Tables, rows: DataFrame, name: str) -> str:
     """One JSON file for each row, below a folder for its key ``k``."""
     out = shared_dir(t.spark, name)

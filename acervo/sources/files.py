@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from acervo.functions import text as tx
+from acervo.sources import wanted
 
 # --- fixed values -----------------------------------------------------------
 MAX_FILE_BYTES = 25 * 1024 * 1024
@@ -41,31 +42,20 @@ def bare_path(path: Column) -> Column:
     return F.regexp_replace(path, r"\A[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(?=/)", "")
 
 
-def read_wanted(spark: SparkSession, paths: DataFrame, ext: str = ".pdf", block: int = 5000) -> DataFrame:
-    """The files of a table of paths (``path``), no others being opened; a path that names no file gives no row.
+def wanted_files(spark: SparkSession, paths: DataFrame, max_bytes: int = MAX_FILE_BYTES, ext: str = ".pdf") -> DataFrame:
+    """A row for each path of a table (``path``) that has the extension, opened in the tasks: path, modificationTime, length, content, error_code.
 
-    The paths go to the file listing in blocks, as Spark lists files on the driver.
+    A file that requests spell in several ways is opened once, one that is too
+    large not at all. A path that names no file, or one that can't be read, is
+    a row with its code.
     """
-    out = spark.createDataFrame([], FILE_SCHEMA)
-    held: list[str] = []
-
-    def load(part: list[str]) -> DataFrame:
-        source = spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
-        found = [p for p in part if _exists(spark, p)]
-        return source.load(found) if found else spark.createDataFrame([], FILE_SCHEMA)
-
-    # A file that requests spell in several ways is opened once.
     named = paths.where(F.lower("path").endswith(ext.lower())).groupBy(bare_path(F.col("path"))).agg(F.max_by("path", F.length("path")).alias("path"))
-    for row in named.select("path").toLocalIterator():
-        held.append(row.path)
-        if len(held) == block:
-            out, held = out.unionByName(load(held)), []
-    return out.unionByName(load(held))
+    return wanted.load(spark, named, max_bytes)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+def read_wanted(spark: SparkSession, paths: DataFrame, ext: str = ".pdf", max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """The files of a table of paths, no others being opened; a path that names no file gives no row."""
+    return wanted_files(spark, paths, max_bytes, ext).where(~F.col("error_code").eqNullSafe(wanted.MISSING))
 
 
 def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES, ext: str = ".pdf") -> DataFrame:
@@ -92,8 +82,10 @@ def file_error(max_bytes: int = MAX_FILE_BYTES, ext: str = ".pdf") -> Column:
 
 
 def accept_files(files: DataFrame, max_bytes: int = MAX_FILE_BYTES, ext: str = ".pdf") -> DataFrame:
+    """Marks files that break a rule and takes their content away; codes that files have already stay."""
     error = file_error(max_bytes, ext)
-    return files.withColumn("error_code", error).withColumn(
+    known = [F.col("error_code")] if "error_code" in files.columns else []
+    return files.withColumn("error_code", F.coalesce(*known, error)).withColumn(
         "content", F.when(F.col("error_code").isNull(), F.col("content"))
     )
 

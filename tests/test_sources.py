@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from acervo.functions import fields, ids
 from acervo.operators import admission, answering, diagnostics, evaluation
 from acervo.operators.retrieval import search_scope
-from acervo.sources import corpus_json, ledger, snapshots
+from acervo import session as session_module
+from acervo.sources import corpus_json, ledger, snapshots, wanted
 from acervo.sources import files as fs
 
 NOW = datetime.datetime(2026, 8, 16, 10, 0, 0)
@@ -32,6 +33,35 @@ def test_files_are_checked_and_read(spark, tmp_path):
     assert [(p.page, p.text) for p in rows["a.pdf"].pages] == [(1, "Primera hoja con texto."), (3, "Tercera hoja con texto.")]
 
 
+def test_wanted_files_are_opened_in_the_tasks(spark, tmp_path):
+    for k in range(30):
+        (tmp_path / f"f{k}.pdf").write_bytes(b"%PDF-\n" + b"x" * k)
+    (tmp_path / "folder.pdf").mkdir()
+    (tmp_path / "shut.pdf").symlink_to("shut.pdf")
+    asked = [f"{tmp_path}/f{k}.pdf" for k in range(30)] + [f"file:{tmp_path}/f1.pdf", f"file://{tmp_path}/f2.pdf", f"{tmp_path}/none.pdf", f"{tmp_path}/folder.pdf", f"{tmp_path}/shut.pdf", f"{tmp_path}/f3.txt", "nowhere://host/x.pdf"]
+    paths = spark.createDataFrame([(p,) for p in asked], "path string")
+    rows = {os.path.basename(r.path): r for r in fs.wanted_files(spark, paths, max_bytes=30).collect()}
+    assert len(rows) == 34 and fs.wanted_files(spark, paths, max_bytes=30).count() == 34
+    for k in range(30):
+        r = rows[f"f{k}.pdf"]
+        assert r.length == 6 + k and r.modificationTime is not None
+        assert (r.content, r.error_code) == ((bytearray(b"%PDF-\n" + b"x" * k), None) if k <= 24 else (None, "PDF_TOO_LARGE"))
+    assert {n: rows[n].error_code for n in ("none.pdf", "folder.pdf", "x.pdf")} == {"none.pdf": "PDF_REQUIRED", "folder.pdf": "PDF_REQUIRED", "x.pdf": "UPLOAD_PROCESSING_FAILED"}
+    assert rows["shut.pdf"].error_code in ("PDF_REQUIRED", "UPLOAD_PROCESSING_FAILED")
+    assert fs.read_wanted(spark, paths).where("error_code is null").count() == 30
+    assert fs.wanted_files(spark, paths.limit(0)).collect() == []
+
+
+def test_wanted_paths_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    paths = spark.createDataFrame([(f"{tmp_path}/f{k}.pdf",) for k in range(40)], "path string").coalesce(1)
+    # No call for a path on the driver: only the two of the shared folder and of the default store are resolved there.
+    resolved = []
+    monkeypatch.setattr(wanted, "qualified", lambda session, path: resolved.append(path) or session_module.qualified(session, path))
+    files = wanted.load(spark, paths, paths_a_task=10)
+    parts = files.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert sorted(r["count"] for r in parts) == [10] * 4 and len(resolved) == 2
+
+
 def test_loader_failures_become_codes(spark):
     def loader(content):
         name = content.decode()
