@@ -103,6 +103,18 @@ def test_groups_and_small_parts(spark, tools, monkeypatch):
             assert mine[-1]["end"] == len((" " + raw).encode())
 
 
+def test_the_quick_encoder_equals_the_library(tools):
+    rng = random.Random(8)
+    assert tools.quick is not None
+    some = [f"a{c}b 1{c} {c}{c}'s {c}" for c in map(chr, range(0x250))]
+    some += ["".join(rng.choice("ab'stremvldLS1²½ \n\t  \x00\x1c\x85!?ñßÞſĳ") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    some += ["x" * 999, "x" * 5000, " " * 999, " \n" * 5000, "日本", "\u0558's", "<|endoftext|>"]
+    want = [e.ids for e in tools.a.encode_batch(some, add_special_tokens=False)]
+    assert tools._a_tokens(some) == want
+    quick = [alignment.UNSURE.search(t) is None for t in some]
+    assert all(quick[:0x250]) and not any(quick[-4:-1])
+
+
 def test_cuts_equal_the_intersection():
     rng = np.random.default_rng(2)
     for density in (0.02, 0.3, 0.9):
