@@ -8,15 +8,16 @@ batch id and replaces them when it is retried.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from acervo.operators import admission, lifecycle
 from acervo.session import cut_lineage
-from acervo.sources.snapshots import last_per_key
 from acervo.streaming.batches import LEDGER_KEYS, read_or_empty, start
+from acervo.streaming.state import KeyedState
 
+OWNERS = "version_id string, document_id string"
 STATES = "document_id string, version_id string, state string"
 
 
@@ -36,24 +37,33 @@ def admit_stream(requests: DataFrame, path: str, checkpoint: str, every: str | N
     return start(requests, each, checkpoint, every)
 
 
-def lifecycle_stream(commands: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+def lifecycle_states(spark: SparkSession, path: str, **sizes) -> tuple[KeyedState, KeyedState]:
+    """The states of versions, which lie by their document, and the documents of versions."""
+    states = KeyedState(spark, f"{path}/states", STATES, "version_id", "document_id", **sizes)
+    return states, KeyedState(spark, f"{path}/owners", OWNERS, "version_id", **sizes)
+
+
+def lifecycle_stream(commands: DataFrame, path: str, checkpoint: str, every: str | None = None, **sizes) -> StreamingQuery:
     """Transitions and purge requests for a stream of lifecycle commands (pos, document_id, version_id, command).
 
     Below ``path``: ``moves`` has every command with the state before it and its
-    outcome, ``states`` the states of versions as triggers changed them,
-    ``purges`` the versions that each trigger archived or failed. Positions must
-    ascend from trigger to trigger.
+    outcome, ``purges`` the versions that each trigger archived or failed,
+    ``states`` and ``owners`` are keyed state (``lifecycle_states``), of which a
+    trigger reads and writes only the buckets of its documents and versions.
+    Positions must ascend from trigger to trigger.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         c = F.col
         spark = batch.sparkSession
+        states, owners = lifecycle_states(spark, path, **sizes)
         new = cut_lineage(batch.select("pos", "document_id", "version_id", "command"))
-        stored = read_or_empty(spark, f"{path}/states", f"{STATES}, batch bigint").where(c("batch") < batch_id)
-        named = new.select("version_id").distinct()
-        owners = stored.join(named, "version_id", "left_semi").select("document_id").union(new.select("document_id")).distinct()
-        last = last_per_key(stored.join(owners, "document_id", "left_semi"), ["version_id"], c("batch"))
-        before = cut_lineage(last.select("document_id", "version_id", "state"))
+        # A version may be named beside another document than its own, whose versions count then.
+        known = owners.rows(owners.touched(new), batch_id) if batch_id else spark.createDataFrame([], OWNERS)
+        mine = known.join(new.select("version_id").distinct(), "version_id", "left_semi").select("document_id")
+        documents = mine.union(new.select("document_id")).distinct()
+        held = states.rows(states.touched(documents), batch_id) if batch_id else spark.createDataFrame([], STATES)
+        before = cut_lineage(held.join(documents, "document_id", "left_semi").select("document_id", "version_id", "state"))
         none = F.lit(None).cast(new.schema["pos"].dataType)
         seeds = lifecycle.commands_to(before).select(
             F.struct(F.lit(0).alias("turn"), c("version_id").alias("key"), none.alias("pos"), "step").alias("pos"), "document_id", "version_id", "command"
@@ -61,13 +71,15 @@ def lifecycle_stream(commands: DataFrame, path: str, checkpoint: str, every: str
         added = new.select(
             F.struct(F.lit(1).alias("turn"), F.lit("").alias("key"), "pos", F.lit(0).alias("step")).alias("pos"), "document_id", "version_id", "command"
         )
-        log = cut_lineage(seeds.unionByName(added))
-        moves = lifecycle.fold_lifecycle(log).where(c("pos.turn") == 1).withColumn("pos", c("pos.pos"))
+        folded, histories = lifecycle.fold_with_histories(seeds.unionByName(added))
+        moves = folded.where(c("pos.turn") == 1).withColumn("pos", c("pos.pos"))
         moves.write.mode("overwrite").parquet(f"{path}/moves/batch={batch_id}")
-        after = lifecycle.version_histories(log).select("document_id", "version_id", "state")
         old = before.select("version_id", c("state").alias("old"))
-        changed = cut_lineage(after.join(old, "version_id", "left").where(~c("state").eqNullSafe(c("old"))).drop("old"))
+        after = histories.select("document_id", "version_id", "state").join(old, "version_id", "left")
+        changed = cut_lineage(after.where(~c("state").eqNullSafe(c("old"))))
         changed.where(c("state").isin("ARCHIVED", "FAILED")).select("version_id").write.mode("overwrite").parquet(f"{path}/purges/batch={batch_id}")
-        changed.select("document_id", "version_id", "state").write.mode("overwrite").parquet(f"{path}/states/batch={batch_id}")
+        begun = changed.where(c("old").isNull())
+        states.write(changed, batch_id, states.touched(changed))
+        owners.write(begun, batch_id, owners.touched(begun))
 
     return start(commands, each, checkpoint, every)
