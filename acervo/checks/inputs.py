@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acervo.checks.registry import Tables, check
+from acervo.checks.registry import CHECKS, Tables, check
 from acervo.operators import models
 from acervo.session import shared_dir
 from acervo.sources import corpus_json, files
@@ -132,3 +132,22 @@ def unsteady_embedder():
 def _(t: Tables) -> DataFrame:
     rows = models.embed_documents(t.documents.select("doc_id", "text"), lambda: unsteady_embedder(), dims=2)
     return rows.select("doc_id", "embed_error", F.get("vector", F.lit(0)).cast("double").alias("first_value"))
+
+
+def embedder_with_outages():
+    """Times out on every call that holds a text starting with A."""
+
+    def embed(texts: list[str]):
+        if any(text.startswith("A") for text in texts):
+            raise TimeoutError("no answer")
+        return [[float(len(text)), 1.0] for text in texts]
+
+    return embed
+
+
+# Documents are embedded in batches; an outage fails the one document that meets it by itself.
+@check("embed_outages", CHECKS["embed_refusals"].sql)
+def _(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", "text")
+    made = models.embed_documents(rows, lambda: embedder_with_outages(), dims=2, document_column="doc_id", delays=(0.0,))
+    return made.select("doc_id", "embed_error", F.get("vector", F.lit(0)).cast("double").alias("first_value"))

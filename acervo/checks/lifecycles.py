@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from acervo.checks import fragments as fr
 from acervo.checks.registry import Tables, check
 from acervo.operators import lifecycle, validation
-from acervo.session import cut_lineage
+from acervo.operators.diagnostics import delete_counted
+from acervo.session import cut_lineage, shared_dir
 from acervo.sources import snapshots as sn
 
 
@@ -150,7 +151,6 @@ def _(t: Tables) -> DataFrame:
     " SELECT count(*) FILTER (gone) AS removed, count(*) FILTER (NOT gone) AS left FROM cut",
 )
 def _(t: Tables) -> DataFrame:
-    from acervo.operators.diagnostics import delete_counts
-
     gone = t.part.where(F.col("p_size") < 10).select(fr.version_id(F.col("p_partkey")).alias("version_id"))
-    return delete_counts(points(t), sn.delete_versions(points(t), gone))
+    removed, left = delete_counted(points(t), gone, "version_id", shared_dir(t.spark, "kept"))
+    return t.spark.createDataFrame([(removed, left)], "removed bigint, left bigint")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from acervo.checks import fragments as fr
 from acervo.checks.registry import Tables, check
 from acervo.checks.reports import (
-    EVAL_SET_AUDIT_SQL, EVAL_SET_SQL, INSTITUTIONS_AUDIT_SQL, INSTITUTIONS_SQL, MANIFEST_AUDIT_SQL, MANIFEST_SQL, PHONE,
+    ADDRESSES_SQL, EVAL_SET_AUDIT_SQL, EVAL_SET_SQL, INSTITUTIONS_AUDIT_SQL, INSTITUTIONS_SQL, MANIFEST_AUDIT_SQL, MANIFEST_SQL, PHONE,
     contacts_sql, eval_set, institutions, manifest_tables,
 )
 from acervo.checks.requests import QUESTIONS_SQL, questions
@@ -327,6 +327,7 @@ def _(t: Tables) -> DataFrame:
     "audit_corpus",
     f"""WITH {MANIFEST_SQL}, {INSTITUTIONS_SQL}, {EVAL_SET_SQL}, {fr.VERSIONS_SQL}
     {contacts_sql("(SELECT CAST(doc_id AS VARCHAR) AS subject, text FROM documents)", ".example.invalid", PHONE, "^x$")}
+    UNION ALL {contacts_sql(ADDRESSES_SQL, ".example.invalid", PHONE, "^x$")}
     UNION ALL {MANIFEST_AUDIT_SQL} UNION ALL {INSTITUTIONS_AUDIT_SQL}
     UNION ALL {EVAL_SET_AUDIT_SQL.replace("(SELECT doc_id FROM documents)", "(SELECT s_suppkey FROM supplier)")}
     UNION ALL SELECT 'active_versions', document_id, CAST(count(*) AS VARCHAR) FROM versions WHERE state = 'ACTIVE' GROUP BY document_id HAVING count(*) > 1""",

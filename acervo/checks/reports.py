@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from acervo.checks.registry import Tables, check
 from acervo.functions import fields
+from acervo.functions.nested import nested_texts
 from acervo.functions.text import nfc
 from acervo.operators import audit, diagnostics, evaluation
 
@@ -174,6 +175,20 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+@check(
+    "nested_texts",
+    """SELECT CAST(c_nationkey AS VARCHAR) AS nation, 'customers['||(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)||'].name' AS path, c_name AS text FROM customer
+    UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'facts.'||k, v FROM (SELECT n_nationkey, unnest(['name', 'comment']) AS k, unnest([n_name, 'r'||n_regionkey]) AS v FROM nation)
+      WHERE n_nationkey IN (SELECT c_nationkey FROM customer)""",
+)
+def _(t: Tables) -> DataFrame:
+    c = F.col
+    people = F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: F.struct(x.c_name.alias("name"), x.c_custkey.alias("key")))
+    grouped = t.customer.groupBy("c_nationkey").agg(people.alias("customers")).join(t.nation, c("c_nationkey") == c("n_nationkey"))
+    facts = F.create_map(F.lit("name"), c("n_name"), F.lit("comment"), F.concat(F.lit("r"), c("n_regionkey").cast("string")))
+    return nested_texts(grouped.select(c("c_nationkey").cast("string").alias("nation"), "customers", facts.alias("facts")), "nation")
+
+
 @check("scan_contacts_web", contacts_sql("(SELECT CAST(page_id AS VARCHAR) AS subject, url||' '||html AS text FROM pages)", ".example.org", PHONE, "^x$"))
 def _(t: Tables) -> DataFrame:
     pages = t.spread("pages").select("page_id", F.concat_ws(" ", "url", "html").alias("text"))
@@ -283,6 +298,8 @@ INSTITUTIONS_SQL = """institutions AS (SELECT o_orderkey AS source, c_custkey IS
   CASE WHEN o_orderstatus = 'P' THEN 'other' ELSE c_name END AS ename, CASE WHEN o_orderpriority = '1-URGENT' THEN NULL ELSE c_mktsegment END AS eemail,
   CAST(c_nationkey + CASE WHEN o_totalprice > 400000 THEN 1 ELSE 0 END AS VARCHAR) AS ephone
   FROM orders LEFT JOIN customer ON o_orderkey = c_custkey)"""
+# Every fifth institution has an e-mail address in its postal address.
+ADDRESSES_SQL = "(SELECT CAST(c_custkey AS VARCHAR) AS subject, 'Write to '||lower(c_mktsegment)||c_custkey||'@corp.example.com' AS text FROM customer WHERE c_custkey % 5 = 0)"
 INSTITUTIONS_AUDIT_SQL = " UNION ALL ".join(
     [_part("source_missing", "source", "NULL", "FROM institutions WHERE NOT given")]
     + [_part(f"institution_{n}", "source", n, f"FROM institutions WHERE given AND {n} IS DISTINCT FROM e{n}") for n in ("name", "email", "phone")]
@@ -291,7 +308,10 @@ INSTITUTIONS_AUDIT_SQL = " UNION ALL ".join(
 
 def institutions(t: Tables) -> tuple[DataFrame, DataFrame]:
     c = F.col
-    own = F.struct(c("c_name").alias("name"), c("c_mktsegment").alias("email"), c("c_nationkey").cast("string").alias("phone"))
+    address = F.when(c("c_custkey") % 5 == 0, F.concat(F.lit("Write to "), F.lower("c_mktsegment"), c("c_custkey").cast("string"), F.lit("@corp.example.com")))
+    own = F.struct(
+        c("c_name").alias("name"), c("c_mktsegment").alias("email"), c("c_nationkey").cast("string").alias("phone"), address.alias("address")
+    )
     sources = t.customer.select(c("c_custkey").cast("string").alias("source"), own.alias("institution"))
     expected = t.orders.join(t.customer, c("o_orderkey") == c("c_custkey"), "left").select(
         c("o_orderkey").cast("string").alias("source"),

@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from acervo.functions.bloom import might_contain
 from acervo.sources.snapshots import first_per_key
 
 
-def admit_requests(requests: DataFrame, ledger: DataFrame, order: str = "seq") -> DataFrame:
+# Bytes from which a ledger is filtered by the requests' keys before it is shuffled.
+LARGE_LEDGER = 256 << 20
+
+
+def known_keys(requests: DataFrame, ledger: DataFrame, large: bool | None = None) -> DataFrame:
+    """The ledger without most of what no request names: a Bloom filter of the requests' keys on its scan.
+
+    ``large`` says whether the ledger is worth that; without it, Spark's own
+    estimate of its size does.
+    """
+    if large is None:
+        estimate = int(str(ledger._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        # Spark gives rows of unknown size the largest number there is.
+        large = LARGE_LEDGER < estimate < 1 << 60
+    return ledger.where(might_contain(requests, "idempotency_key", F.col("idempotency_key"))) if large else ledger
+
+
+def admit_requests(requests: DataFrame, ledger: DataFrame, order: str = "seq", large_ledger: bool | None = None) -> DataFrame:
     """Classifies requests as new, replay or conflict.
 
     The first request of a key decides: the ledger's entry if there is one,
@@ -17,7 +35,7 @@ def admit_requests(requests: DataFrame, ledger: DataFrame, order: str = "seq") -
     repeated very often collapses before the shuffle; the join back has one row
     per key on its right side, which AQE can split on the left.
     """
-    known = ledger.groupBy("idempotency_key").agg(
+    known = known_keys(requests, ledger, large_ledger).groupBy("idempotency_key").agg(
         F.min_by(F.struct("request_hash", "job_id"), F.col("job_id")).alias("known")
     )
     first = first_per_key(

@@ -72,35 +72,69 @@ def with_retry(call: Callable, delays: Sequence[float] = RETRY_DELAYS, sleep=tim
     return call()
 
 
-def _vectors(model: Embedder, texts: list[str], dims: int | None) -> list[tuple[np.ndarray | None, str | None]]:
-    """A vector or an error for each text. A batch that the model refuses is tried text by text, so that one bad text fails alone;
-    one that fails for a passing reason even after the retries fails as a whole."""
-    failed = (None, "EMBEDDING_GENERATION_FAILED")
+FAILED = (None, "EMBEDDING_GENERATION_FAILED")
+
+
+def _vectors(model: Embedder, texts: list[str], owners: list, dims: int | None, delays: Sequence[float]) -> list[tuple[np.ndarray | None, str | None]]:
+    """A vector or an error for each text.
+
+    A batch that the model refuses is tried text by text, so that one bad text
+    fails alone. One that fails for a passing reason even after the retries is
+    tried document by document; a document whose call fails so by itself fails
+    as a whole, and no other does.
+    """
     try:
-        matrix = np.asarray(with_retry(lambda: model(texts)), dtype=np.float32)
+        matrix = np.asarray(with_retry(lambda: model(texts), delays), dtype=np.float32)
         if matrix.ndim != 2 or len(matrix) != len(texts):
             raise ValueError("one vector per text is needed")
     except Exception as problem:
-        if len(texts) == 1 or transient(problem):
-            return [failed] * len(texts)
-        return [found for text in texts for found in _vectors(model, [text], dims)]
+        if len(texts) == 1:
+            return [FAILED]
+        if not transient(problem):
+            return [found for text, owner in zip(texts, owners) for found in _vectors(model, [text], [owner], dims, delays)]
+        if len(set(owners)) == 1:
+            return [FAILED] * len(texts)
+        found: list = [None] * len(texts)
+        for owner in dict.fromkeys(owners):
+            own = [k for k, other in enumerate(owners) if other == owner]
+            for k, result in zip(own, _vectors(model, [texts[k] for k in own], [owner] * len(own), dims, delays)):
+                found[k] = result
+        return found
     if dims is not None and matrix.shape[1] != dims:
         return [(None, "VECTOR_DIMENSION_MISMATCH")] * len(texts)
     return [(row, None) for row in matrix]
 
 
+def packed(owners: list, batch_size: int) -> list[list[int]]:
+    """Places in batches of at most ``batch_size``; a document that fits into one isn't parted, a longer one has batches of its own."""
+    batches: list[list[int]] = []
+    runs: dict = {}
+    for k, owner in enumerate(owners):
+        runs.setdefault(owner, []).append(k)
+    for own in runs.values():
+        if batches and len(batches[-1]) + len(own) <= batch_size:
+            batches[-1].extend(own)
+        else:
+            batches += [own[start : start + batch_size] for start in range(0, len(own), batch_size)]
+    return batches
+
+
 def embed_documents(
     rows: DataFrame,
     embedder: Callable[[], Embedder],
     text_column: str = "text",
     batch_size: int = BATCH_SIZE,
     dims: int | None = None,
+    document_column: str | None = None,
+    delays: Sequence[float] = RETRY_DELAYS,
 ) -> DataFrame:
     """Adds ``vector`` and ``embed_error`` to every row.
 
     ``embedder`` builds the model once per task. Texts go to it in batches of
-    ``batch_size``. A text that the model refuses, a null text, and a vector of
-    another size than ``dims`` become error rows; all others go on.
+    ``batch_size``, packed by ``document_column`` (without it, each row is a
+    document of its own). A text that the model refuses, a null text, and a
+    vector of another size than ``dims`` become error rows; a lasting outage
+    fails the document whose call meets it, and all others go on.
     """
     out_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
@@ -108,11 +142,12 @@ def embed_documents(
         model = embedder()
         for batch in batches:
             texts = batch.column(text_column).to_pylist()
-            found = [(None, "EMBEDDING_GENERATION_FAILED")] * len(texts)
+            owners = batch.column(document_column).to_pylist() if document_column else list(range(len(texts)))
+            found = [FAILED] * len(texts)
             given = [k for k, text in enumerate(texts) if text is not None]
-            for start in range(0, len(given), batch_size):
-                part = given[start : start + batch_size]
-                for k, result in zip(part, _vectors(model, [texts[k] for k in part], dims)):
+            for places in packed([owners[k] for k in given], batch_size):
+                part = [given[p] for p in places]
+                for k, result in zip(part, _vectors(model, [texts[k] for k in part], [owners[k] for k in part], dims, delays)):
                     found[k] = result
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([v for v, _ in found], pa.list_(pa.float32())), pa.array([e for _, e in found], pa.string())],

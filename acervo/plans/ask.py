@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from acervo.functions.vectors import Embedder
 from acervo.operators import answering, diagnostics, lifecycle, models, retrieval, validation
 from acervo.session import cut_lineage
+from acervo.sources.appends import append_once
 
 ANSWER_COLUMNS = ("question_id", "question", "status", "answer", "citations", "retrieved", "error_code")
 
@@ -60,10 +61,10 @@ def ask_diagnostics(answers: DataFrame, as_of: Column, ttl_hours: int = diagnost
     return diagnostics.diagnostics_rows(answered.withColumnRenamed("question_id", "request_id"), as_of, ttl_hours)
 
 
-def record(answers: DataFrame, path: str, as_of: Column, ttl_hours: int = diagnostics.TTL_HOURS) -> bool:
-    """Append the diagnostics of written answers; a failure is told in the log and by the result, and fails no answer."""
+def record(answers: DataFrame, path: str, as_of: Column, ttl_hours: int = diagnostics.TTL_HOURS, batch: str | int | None = None) -> bool:
+    """Add the diagnostics of written answers, once per job; a failure is told in the log and by the result, and fails no answer."""
     try:
-        ask_diagnostics(answers, as_of, ttl_hours).write.mode("append").parquet(path)
+        append_once(ask_diagnostics(answers, as_of, ttl_hours), path, batch)
         return True
     except Exception:
         logging.getLogger(__name__).exception("diagnostics were not recorded")

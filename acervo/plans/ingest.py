@@ -133,7 +133,7 @@ def ingest(
     ).join(pages, "_file").drop("_file")
     readable = texts.where(c("error_code").isNull())
     chunks = chunking.chunk_versions(readable)
-    embedded = cut_lineage(models.embed_documents(chunks.where(c("error_code").isNull()), embedder, dims=dims))
+    embedded = cut_lineage(models.embed_documents(chunks.where(c("error_code").isNull()), embedder, dims=dims, document_column="version_id"))
     broken = embedded.where(c("embed_error").isNotNull()).groupBy("version_id").agg(F.min("embed_error").alias("stage_error"))
     stored = embedded.groupBy("version_id").agg(F.count("*").alias("chunks"))
     results = (

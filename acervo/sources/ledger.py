@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from acervo.functions.fields import progress_for
 from acervo.functions.text import sanitize_code, sanitize_message
+from acervo.sources.appends import append_once
 from acervo.sources.snapshots import last_per_key
 
 STATUS_COLUMNS = (
@@ -32,8 +33,9 @@ def ledger_rows(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def write_ledger(outcomes: DataFrame, path: str) -> None:
-    ledger_rows(outcomes).write.mode("append").parquet(path)
+def write_ledger(outcomes: DataFrame, path: str, batch: str | int | None = None) -> None:
+    """Adds the entries of a job named ``batch``; repeating the job adds none twice."""
+    append_once(ledger_rows(outcomes), path, batch)
 
 
 def job_status(ledger: DataFrame, ids: DataFrame, order: str = "updated_at") -> DataFrame:

@@ -31,8 +31,8 @@ def admit_stream(requests: DataFrame, path: str, checkpoint: str, every: str | N
         earlier = read_or_empty(batch.sparkSession, path, f"{LEDGER_KEYS}, batch bigint")
         owners = earlier.where((F.col("batch") < batch_id) & (F.col("outcome") == "new")).drop("batch", "outcome")
         asked = batch.select("idempotency_key", "seq", "request_hash", "job_id")
-        known = owners.join(asked.select("idempotency_key"), "idempotency_key", "left_semi")
-        admission.admit_requests(asked, known).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        known = admission.known_keys(asked, owners).join(asked.select("idempotency_key"), "idempotency_key", "left_semi")
+        admission.admit_requests(asked, known, large_ledger=False).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return start(requests, each, checkpoint, every)
 

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from acervo.functions.vectors import hash_embedder
+from acervo.functions.nested import nested_texts
 from acervo.operators import audit
 from acervo.plans import corpus as corpora
 
@@ -140,3 +141,21 @@ def test_missing_sources_are_told(spark):
     sources = spark.createDataFrame([("a", ("n", "e", "p"))], "source string, institution struct<name:string,email:string,phone:string>")
     expected = spark.createDataFrame([("a", "n", "e", "p"), ("lost", "n", "e", "p")], "source string, expected_name string, expected_email string, expected_phone string")
     assert [(r.check, r.subject) for r in audit.validate_source_consistency(sources, expected).collect()] == [("source_missing", "lost")]
+
+
+def test_contacts_inside_nested_sources_are_found(spark):
+    schema = "source string, institution struct<name:string,contacts:array<struct<kind:string,value:string>>>, extra map<string,array<string>>, n int"
+    rows = [
+        ("a.json", ("IES", [("mail", "escribe a x@real.es"), ("web", None), ("tel", "+34 912 345 678")]), {"notes": ["fine", "http://real.es/x"]}, 1),
+        ("b.json", ("IES", None), None, 2), ("c.json", None, {"k": None}, 3),
+    ]
+    sources = spark.createDataFrame(rows, schema)
+    texts = {(r.source, r.path): r.text for r in nested_texts(sources, "source").collect()}
+    assert texts == {
+        ("a.json", "institution.name"): "IES", ("a.json", "institution.contacts[0].kind"): "mail", ("a.json", "institution.contacts[0].value"): "escribe a x@real.es",
+        ("a.json", "institution.contacts[1].kind"): "web", ("a.json", "institution.contacts[2].kind"): "tel", ("a.json", "institution.contacts[2].value"): "+34 912 345 678",
+        ("a.json", "extra.notes[0]"): "fine", ("a.json", "extra.notes[1]"): "http://real.es/x", ("b.json", "institution.name"): "IES",
+    }
+    found = audit.scan_contacts(nested_texts(sources, "source"), "source")
+    assert {(r.subject, r.detail) for r in found.collect()} == {("a.json", "email:x@real.es"), ("a.json", "url:http://real.es/x")}
+    assert nested_texts(sources.select("source", "n"), "source").count() == 0

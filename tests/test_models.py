@@ -141,3 +141,30 @@ def test_outage_is_told_apart_and_not_asked_again(spark, tmp_path):
     for _ in range(2):  # a second reader repeats no call
         assert {r.question_id: r.error_code for r in decided.collect()} == {"q1": "MODEL_UNAVAILABLE", "q2": "MODEL_OUTPUT_INVALID"}
     assert sorted(open(calls).read().split()) == ["bad", "bad", "down"]
+
+
+def test_an_outage_fails_one_document(spark):
+    calls = []
+
+    def model(texts):
+        calls.append(list(texts))
+        if "poison" in texts:
+            raise TimeoutError("no answer")
+        if "refused" in texts:
+            raise ValueError("bad")
+        return [[float(len(t))] for t in texts]
+
+    texts = ["a", "bb", "poison", "ccc", "dd", "refused", "e"]
+    owners = ["d1", "d1", "d2", "d2", "d3", "d3", "d4"]
+    found = models._vectors(model, texts, owners, 1, (0.0,))
+    assert [e for _, e in found] == [None, None, "EMBEDDING_GENERATION_FAILED", "EMBEDDING_GENERATION_FAILED", None, "EMBEDDING_GENERATION_FAILED", None]
+    assert [v[0] for v, e in found if e is None] == [1.0, 2.0, 2.0, 1.0]
+
+
+def test_documents_are_packed_whole():
+    owners = ["a"] * 3 + ["b"] * 4 + ["c"] * 20 + ["d"] + ["a"]
+    batches = models.packed(owners, 8)
+    assert sorted(k for batch in batches for k in batch) == list(range(len(owners))) and all(len(b) <= 8 for b in batches)
+    for name in "abd":
+        assert sum(any(owners[k] == name for k in batch) for batch in batches) == 1
+    assert models.packed([], 8) == [] and models.packed([None, None], 8) == [[0, 1]]

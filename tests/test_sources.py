@@ -297,3 +297,47 @@ def test_read_files_query_hashes_files_beyond_2_mib(spark, tmp_path):
     (tmp_path / "large.parquet").write_bytes(data)
     (row,) = CHECKS["read_files"].build(Tables(spark, str(tmp_path))).collect()
     assert (row.length, row.error_code, row.content_hash) == (3 << 20, None, hashlib.sha256(data).hexdigest())
+
+
+def test_a_failed_and_repeated_job_leaves_its_rows_once(spark, tmp_path):
+    path = str(tmp_path / "d")
+    answers = spark.createDataFrame([(f"r{i}", "¿?", "sí", ["c1"]) for i in range(40)], "request_id string, question string, answer string, retrieved array<string>").repartition(4)
+    broken = answers.withColumn("question", F.when(F.col("request_id") == "r7", F.raise_error(F.lit("lost")).cast("string")).otherwise(F.col("question")))
+
+    def held():
+        return spark.read.parquet(path).groupBy("batch").count().collect()
+
+    diagnostics.append_diagnostics(answers.limit(5), path, F.lit(NOW), batch=1)
+    for rows, fails in ((broken, True), (answers, False), (answers, False), (broken, True)):
+        if fails:
+            with pytest.raises(Exception, match="lost"):
+                diagnostics.append_diagnostics(rows, path, F.lit(NOW), batch=2)
+        else:
+            diagnostics.append_diagnostics(rows, path, F.lit(NOW), batch=2)
+    assert sorted((r.batch, r["count"]) for r in held()) == [(1, 5), (2, 40)]
+    rows = spark.createDataFrame([("j1", "completed", None, None), ("j2", "storing", "BAD", "x")], "job_id string, stage string, error_code string, error_message string")
+    for _ in range(3):
+        ledger.write_ledger(rows, str(tmp_path / "l"), "run-1")
+    ledger.write_ledger(rows, str(tmp_path / "l"))
+    assert spark.read.parquet(str(tmp_path / "l")).count() == 4
+
+
+def test_a_delete_is_counted_by_its_write(spark, tmp_path):
+    spark.range(1000).select(F.col("id").alias("point_id"), (F.col("id") % 10).alias("version_id")).write.parquet(str(tmp_path / "p"))
+    points = spark.read.parquet(str(tmp_path / "p"))
+    gone = spark.createDataFrame([(3,), (4,), (4,), (77,)], "version_id long")
+    assert diagnostics.delete_counted(points, gone, "version_id", str(tmp_path / "left")) == (200, 800)
+    assert spark.read.parquet(str(tmp_path / "left")).where("version_id in (3, 4)").count() == 0
+    assert diagnostics.delete_counted(points.where("false"), gone, "version_id", str(tmp_path / "none")) == (0, 0)
+
+
+def test_a_large_ledger_is_filtered_by_the_batch(spark):
+    known = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("idempotency_key"), F.lit("h").alias("request_hash"), F.concat(F.lit("j"), "id").alias("job_id"))
+    for n, most in ((3, 40), (200, 260)):
+        requests = spark.createDataFrame([(f"k{i * 7}", i, "h" if i % 2 else "other", f"new{i}") for i in range(n)] + [("fresh", n, "h", "f")], "idempotency_key string, seq long, request_hash string, job_id string")
+        left = admission.known_keys(requests, known, large=True).count()
+        assert n <= left <= most
+        columns = ["idempotency_key", "seq", "outcome", "job_id"]
+        large, plain = (admission.admit_requests(requests, known, large_ledger=flag).select(columns).collect() for flag in (True, False))
+        assert sorted(large) == sorted(plain) and {r.outcome for r in large} == {"new", "replay", "conflict"}
+    assert admission.known_keys(requests, known) is known

@@ -88,6 +88,37 @@ def test_purges_over_several_triggers(spark, tmp_path):
     assert [r.point_id for r in batches.compact_points(points, out, str(tmp_path / "next")).collect()] == ["p2"]
 
 
+def test_notes_made_during_a_compaction_are_kept(spark, tmp_path, monkeypatch):
+    purged, path = str(tmp_path / "purged"), str(tmp_path / "next")
+    points = spark.createDataFrame([("p1", "v1"), ("p2", "v2"), ("p3", "v3")], "point_id string, version_id string")
+
+    def note(batch, version):
+        spark.createDataFrame([(version,)], "version_id string").write.parquet(f"{purged}/batch={batch}")
+
+    def ids(df):
+        return sorted(r.point_id for r in df.collect())
+
+    note(3, "v1")
+    mark = batches.note_mark
+
+    def marked(session, at):
+        through = mark(session, at)
+        # A trigger notes another version after the mark is taken and before the points are written.
+        note(4, "v2")
+        return through
+
+    monkeypatch.setattr(batches, "note_mark", marked)
+    compacted = batches.compact_points(points, purged, path)
+    assert ids(compacted) == ["p2", "p3"]
+    assert batches.drop_spent_notes(spark, purged, path) == 1 and batches.drop_spent_notes(spark, purged, path) == 0
+    assert mark(spark, purged) == 4
+    assert ids(batches.live_points(compacted, purged)) == ["p3"]
+    monkeypatch.setattr(batches, "note_mark", mark)
+    again = batches.compact_points(compacted, purged, f"{path}-2")
+    assert ids(again) == ["p3"] and batches.drop_spent_notes(spark, purged, f"{path}-2") == 1
+    assert mark(spark, purged) == -1 and ids(batches.live_points(again, purged)) == ["p3"]
+
+
 def test_entries_kept_by_one_trigger_expire_at_a_later_one(spark, tmp_path):
     source, out, schema = str(tmp_path / "in"), str(tmp_path / "out"), "id string, expires_at timestamp"
     clock = ["2026-01-01 00:30:00"]
