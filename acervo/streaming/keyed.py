@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegralType
 
 from acervo.operators import admission, lifecycle
 from acervo.session import cut_lineage
@@ -43,6 +44,30 @@ def lifecycle_states(spark: SparkSession, path: str, **sizes) -> tuple[KeyedStat
     return states, KeyedState(spark, f"{path}/owners", OWNERS, "version_id", **sizes)
 
 
+def _struct_positions(new: DataFrame) -> bool:
+    return not isinstance(new.schema["pos"].dataType, IntegralType)
+
+
+def _least(new: DataFrame) -> int:
+    found = new.agg(F.min("pos")).first()[0]
+    return 0 if found is None else found
+
+
+def _log_after(before: DataFrame, new: DataFrame) -> DataFrame:
+    """New commands after those that bring versions to the states they are in (one activation per document at most, so these need no order among versions)."""
+    c = F.col
+    past = lifecycle.commands_to(before)
+    if _struct_positions(new):
+        none = F.lit(None).cast(new.schema["pos"].dataType)
+        early = F.struct(F.lit(0).alias("turn"), c("version_id").alias("key"), none.alias("pos"), "step")
+        late = F.struct(F.lit(1).alias("turn"), F.lit("").alias("key"), "pos", F.lit(0).alias("step"))
+    else:
+        # Numbers are compared faster: the three before the least position are free.
+        early, late = F.lit(_least(new) - 3).cast("bigint") + c("step"), c("pos").cast("bigint")
+    named = ("document_id", "version_id", "command")
+    return past.select(early.alias("pos"), *named).unionByName(new.select(late.alias("pos"), *named))
+
+
 def lifecycle_stream(commands: DataFrame, path: str, checkpoint: str, every: str | None = None, **sizes) -> StreamingQuery:
     """Transitions and purge requests for a stream of lifecycle commands (pos, document_id, version_id, command).
 
@@ -64,15 +89,8 @@ def lifecycle_stream(commands: DataFrame, path: str, checkpoint: str, every: str
         documents = mine.union(new.select("document_id")).distinct()
         held = states.rows(states.touched(documents), batch_id) if batch_id else spark.createDataFrame([], STATES)
         before = cut_lineage(held.join(documents, "document_id", "left_semi").select("document_id", "version_id", "state"))
-        none = F.lit(None).cast(new.schema["pos"].dataType)
-        seeds = lifecycle.commands_to(before).select(
-            F.struct(F.lit(0).alias("turn"), c("version_id").alias("key"), none.alias("pos"), "step").alias("pos"), "document_id", "version_id", "command"
-        )
-        added = new.select(
-            F.struct(F.lit(1).alias("turn"), F.lit("").alias("key"), "pos", F.lit(0).alias("step")).alias("pos"), "document_id", "version_id", "command"
-        )
-        folded, histories = lifecycle.fold_with_histories(seeds.unionByName(added))
-        moves = folded.where(c("pos.turn") == 1).withColumn("pos", c("pos.pos"))
+        folded, histories = lifecycle.fold_with_histories(_log_after(before, new))
+        moves = folded.where(c("pos.turn") == 1).withColumn("pos", c("pos.pos")) if _struct_positions(new) else folded.where(c("pos") >= _least(new))
         moves.write.mode("overwrite").parquet(f"{path}/moves/batch={batch_id}")
         old = before.select("version_id", c("state").alias("old"))
         after = histories.select("document_id", "version_id", "state").join(old, "version_id", "left")

@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 
 from acervo.sources.snapshots import last_per_key
 
-BUCKETS = 64
+BUCKETS = 16  # of small state; large state takes more, as a touched bucket is read as a whole
 MOST_DELTAS = 8
 
 
@@ -97,7 +97,8 @@ class KeyedState:
             held = self._read(full).unionByName(new.where(F.col("bucket").isin(list(full))).select(*columns, F.lit(batch).cast("bigint").alias("batch")))
             whole = self._latest(held).select(*columns, self.bucket().alias("bucket"), F.lit("whole").alias("kind"))
             out = out.select(*columns, "bucket", "kind").unionByName(whole)
-        placed = out.withColumn("batch", F.lit(batch).cast("bigint")).repartition("bucket")
+        tasks = max(1, min(len(buckets), int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
+        placed = out.withColumn("batch", F.lit(batch).cast("bigint")).repartition(tasks, "bucket")
         self._forget(batch, buckets)
         placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch", "kind").parquet(self.path)
         self._clear(parts)
