@@ -150,6 +150,16 @@ class Cover:
         k = bisect.bisect_left(self.starts, end) - 1
         return k >= 0 and self.ends[k] > start
 
+    def gaps(self, start: int, end: int) -> list[tuple[int, int]]:
+        """What the stretches leave of a span."""
+        out, k = [], bisect.bisect_right(self.ends, start)
+        while start < end:
+            stop = min(end, self.starts[k]) if k < len(self.starts) else end
+            if start < stop:
+                out.append((start, stop))
+            start, k = self.ends[k] if k < len(self.ends) else end, k + 1
+        return out
+
     def add(self, start: int, end: int) -> None:
         """A span that overlaps none."""
         k = bisect.bisect_left(self.starts, start)

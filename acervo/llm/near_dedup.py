@@ -12,7 +12,8 @@ copies it looks at no pair of one component, nor at those too far apart.
 A pair at the very threshold of 0.75 has 24 of 32 collisions on average; it has fewer than 12 once in about a million cases.
 
 Defined cases: a null or blank text has an empty set, is linked with nothing and kept. A row without doc_id is linked with
-nothing and kept, its component_id is null. Repeated rows get a result row each. An empty table gives an empty result.
+nothing and kept, its component_id is null. Repeated rows get a result row each. Different texts of one doc_id are documents of
+their own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from acervo.llm.common import Batches, batch_of, hashed_words, id_text, ids, mix
 COORDINATES = 32
 MATCHES = 12
 THRESHOLD = 75
-SKETCH = "doc_id bigint, n_shingles bigint, set_key binary, signature array<bigint>"
+SKETCH = "doc_id bigint, text_key string, n_shingles bigint, set_key binary, signature array<bigint>"
+TEXT_KEY = "near_dedup_text_key"
 SETS = "node bigint, signature array<bigint>, shingles binary"
 
 
@@ -53,33 +55,40 @@ def set_key(shingles: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Set size, set key and signature of every document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.list_(pa.int64()))])
+    """Text key, set size, set key and signature of every document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.list_(pa.int64()))])
 
     def run(batches: Batches) -> Batches:
         cache = word_hashes()
         for batch in batches:
             sets = [distinct_shingles(text, cache) for text in raw_texts(batch)]
             yield batch_of(
-                schema, ids(batch), [len(s) for s in sets],
+                schema, ids(batch), ids(batch, "text_key"), [len(s) for s in sets],
                 [set_key(s) if len(s) else None for s in sets], [signature(s) if len(s) else None for s in sets],
             )
 
-    return id_text(docs).mapInArrow(run, SKETCH)
+    return id_text(docs).withColumn("text_key", text_key("text")).mapInArrow(run, SKETCH)
 
 
-def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Signature and full set of the documents that stand for the given classes."""
+def text_key(name: str):
+    return F.sha2(F.coalesce(F.col(name), F.lit("")), 256)
+
+
+def full_sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """Signature and full set of the given classes, from the documents that stand for them."""
     schema = pa.schema([("node", pa.int64()), ("signature", pa.list_(pa.int64())), ("shingles", pa.binary())])
 
     def run(batches: Batches) -> Batches:
         cache = word_hashes()
         for batch in batches:
             sets = [distinct_shingles(text, cache) for text in raw_texts(batch)]
-            yield batch_of(schema, ids(batch), [signature(s) if len(s) else None for s in sets], [s.tobytes() for s in sets])
+            # One doc_id may have several texts; each class wants its own.
+            keys = batch.column(batch.schema.get_field_index("set_key")).to_pylist()
+            own = [k for k, s in enumerate(sets) if len(s) and set_key(s) == keys[k]]
+            yield batch_of(schema, ids(batch, "node").take(pa.array(own, pa.int64())), [signature(sets[k]) for k in own], [sets[k].tobytes() for k in own])
 
-    chosen = id_text(docs).join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return chosen.mapInArrow(run, SETS)
+    wanted = classes.join(nodes.select("node").distinct(), "node", "left_semi").select("doc_id", "node", "set_key")
+    return id_text(docs).join(wanted, "doc_id").mapInArrow(run, SETS)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -184,10 +193,10 @@ def across_components(members: DataFrame, sets: DataFrame) -> DataFrame:
     return left.join(right, "shingle").filter(f"node < node_b and component <> component_b and {reach}").select(F.col("node").alias("a"), F.col("node_b").alias("b"))
 
 
-def linked_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def linked_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) of the classes that have a link to another class."""
-    posts = staged(prefix_posts(nodes))
-    sets = staged(full_sets(docs, posts))
+    posts = staged(prefix_posts(classes.select("node", "signature")))
+    sets = staged(full_sets(docs, posts, classes))
     pivot = posts.groupBy("token").agg(F.min("node").alias("a"))
     first = staged(posts.join(pivot, "token").filter("a < node").select("a", F.col("node").alias("b")).distinct())
     links = staged(confirmed(first, sets))
@@ -202,23 +211,38 @@ def linked_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return every.join(merged, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id (least doc_id reachable by links), kept."""
+def components_of(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, text_key, n_shingles, group (of linked classes; null for rows that none can be linked with), component_id."""
     sketch = staged(sketches(docs))
     named = sketch.filter("doc_id is not null and n_shingles > 0")
-    classes = staged(named.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min_by("signature", "doc_id").alias("signature")))
-    components = linked_components(docs, classes.select("node", "signature"))
-    of_class = classes.select("set_key", "node").join(components, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return (
-        sketch.drop("signature").join(of_class, "set_key", "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # A class is numbered, and stands by its least doc_id; two classes may have that in common.
+    found = named.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min_by("signature", "doc_id").alias("signature"))
+    classes = staged(found.withColumn("node", F.monotonically_increasing_id()))
+    components = linked_components(docs, classes)
+    grouped = classes.select("set_key", "node", "doc_id").join(components, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    least = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    of_class = grouped.join(least, "group").select("set_key", "group", "component_id")
+    rows = sketch.drop("signature").join(of_class, "set_key", "left")
+    named_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return rows.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("group")).alias("group"), named_id.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """A row per document: doc_id, n_shingles, component_id (least doc_id reachable by links), kept."""
+    return components_of(docs).select("doc_id", "n_shingles", "component_id").withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents with one of each component, columns as they were; a repeated row stays once. Rows without doc_id stay."""
-    kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """The documents with one of each component, columns as they were; a repeated row stays once. Rows without doc_id stay.
+
+    Texts of one doc_id are documents of their own: they go only where they are linked.
+    """
+    rows = components_of(docs).filter("doc_id is not null")
+    grouped = rows.filter("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("one")).select("one.*")
+    kept = grouped.unionByName(rows.filter("group is null").select("doc_id", "text_key")).distinct()
+    marked = docs.filter("doc_id is not null").withColumn(TEXT_KEY, text_key("text"))
+    same = (F.col("doc_id").cast("long") == F.col("kept_id")) & (F.col(TEXT_KEY) == F.col("kept_key"))
+    one = marked.join(kept.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")), same, "left_semi")
+    return one.dropDuplicates(["doc_id", TEXT_KEY]).select(*docs.columns).unionByName(docs.filter("doc_id is null")).select(*docs.columns)

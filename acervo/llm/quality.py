@@ -37,13 +37,13 @@ FOLDS = ((re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"(?:[a-z]|[\x80-\xff])+")
 def shape(word: bytes) -> bytes:
     for pattern, to in FOLDS:
         word = pattern.sub(to, word)
-    return word[:12]
+    return word
 
 
 def hashes_of(word: bytes) -> tuple[int, int]:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(word.lower()), xxhash.xxh3_64_intdigest(shape(word[:64]), seed=1)
+    return xxhash.xxh3_64_intdigest(word.lower()), xxhash.xxh3_64_intdigest(shape(word), seed=1)
 
 
 def features(text: bytes, cache: Bounded) -> tuple[np.ndarray, np.ndarray]:

@@ -78,6 +78,10 @@ def dictionary(ranked: list[bytes], priced: dict[bytes, float] | None = None) ->
     return Words(costs | {word: min(cost, costs.get(word, cost)) for word, cost in (priced or {}).items()})
 
 
+# All ASCII bytes but letters and digits.
+NO_CHARACTERS = bytes(c for c in range(128) if not chr(c).isalnum())
+
+
 def guess_cost(value: bytes, words: Words) -> float:
     """Least log10 of guesses over all segmentations of the value; each further segment costs a little, too.
 
@@ -171,11 +175,20 @@ def base_spans(text: bytes) -> list[tuple[int, int, str]]:
 
 
 def guessed_spans(text: bytes, words: Words, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Costly values in credential context that no base span covers."""
+    """Costly values in credential context, and values of which base spans leave letters or digits uncovered."""
     if not (values := context_values(text)):
         return []
     covered = Cover((s, e) for s, e, _ in base)
-    return [(a, b, "guess") for a, b in values if not covered.overlaps(a, b) and guess_cost(text[a:b], words) >= MIN_COST]
+    out = []
+    for a, b in values:
+        if not covered.overlaps(a, b):
+            secret = guess_cost(text[a:b], words) >= MIN_COST
+        else:
+            # What a base span takes out of a value is a secret, so the whole value is.
+            secret = any(text[x:y].translate(None, NO_CHARACTERS) for x, y in covered.gaps(a, b))
+        if secret:
+            out.append((a, b, "guess"))
+    return out
 
 
 def learnt_words(docs: DataFrame) -> dict[bytes, float]:

@@ -8,7 +8,7 @@ score in a text. The best segment's score, less what its text's length alone wou
 by a logistic curve.
 
 Only training rows teach: at most ``max_labelled`` of them, chosen by a hash of doc_id, so that what is held in memory at once
-has a fixed bound; equal texts of one label teach once. The model holds at most ``max_tokens`` tokens, the most telling first.
+has a fixed bound; equal texts of one label teach once. The model holds all telling tokens, which that bound limits, too.
 
 Defined cases: a null or empty text has no segment and gets the score of such a text. A row without doc_id is scored like any
 other. Labels that are null teach nothing; without a toxic or without a clean training row every document scores 0.
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from acervo.llm.common import Batches, Bounded, Shared, batch_of, bound_batches, id_text, ids, raw_texts, staged
 
 MAX_LABELLED = 20_000
-MAX_TOKENS = 50_000
 MIN_Z = (2.0, 2.5, 3.0, 3.5)  # least z-scores of telling tokens to choose from
 PRIOR = 0.05  # weight of the Dirichlet prior against all counts; a token's part is its share of these
 DRIFT = 0.5
@@ -134,7 +133,7 @@ def probability(model: Model, scores: Bounded, text: bytes) -> float:
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, a + b * evidence + c * best))))
 
 
-def token_scores(train: DataFrame, max_tokens: int) -> dict[bytes, tuple[float, float]]:
+def token_scores(train: DataFrame) -> dict[bytes, tuple[float, float]]:
     """Score and size of the z-score of tokens, counted once per document, whose z-score is large."""
     schema = pa.schema([("token", pa.binary()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
@@ -159,8 +158,8 @@ def token_scores(train: DataFrame, max_tokens: int) -> dict[bytes, tuple[float,
     error = F.sqrt(1 / in_toxic + 1 / in_clean)
     sure = F.signum(odds) * (F.abs(odds) - CAUTION * error)
     scored = counted.filter("toxic + clean > 1").select("token", sure.alias("score"), (odds / error).alias("z"))
-    top = scored.filter(F.abs("z") >= MIN_Z[0]).orderBy(F.abs("z").desc(), "token").limit(max_tokens)
-    return {bytes(r.token): (float(r.score), abs(float(r.z))) for r in top.collect()}
+    telling = scored.filter(F.abs("z") >= MIN_Z[0]).orderBy("token")
+    return {bytes(r.token): (float(r.score), abs(float(r.z))) for r in telling.collect()}
 
 
 def gumbel(best: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
@@ -187,11 +186,11 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
     return w
 
 
-def train_model(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_tokens: int = MAX_TOKENS) -> Model:
+def train_model(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """Tokens from three quarters of the training rows, calibration from the fourth, which the tokens haven't seen."""
     train = staged(training_rows(docs, labels, "toxic", held_out(5, 0), max_labelled).dropDuplicates(["text", "label"]))
     fold = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 3
-    tokens = token_scores(train.filter(~fold), max_tokens)
+    tokens = token_scores(train.filter(~fold))
     if not tokens:
         return Model()
     choices = [{t: s for t, (s, z) in tokens.items() if z >= least} for least in MIN_Z]

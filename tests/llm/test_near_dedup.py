@@ -74,3 +74,20 @@ def test_one_of_each_stays_with_columns(spark):
 def test_empty(spark):
     assert got(empty(spark)) == []
     assert near_dedup.drop_near_duplicates(empty(spark)).count() == 0
+
+
+def test_two_texts_of_one_document(spark):
+    import random
+
+    rng = random.Random(6)
+    a, b, c = (words(rng, 40) for _ in range(3))
+    near = " ".join([*c.split()[:-1], "other"])
+    for rows, left in (
+        ([(1, a), (1, b), (2, c)], {(1, a), (1, b), (2, c)}),
+        ([(1, a), (1, a), (1, b), (2, near), (3, c), (1, "")], {(1, a), (1, b), (2, near), (1, "")}),
+        ([(5, c), (5, near), (6, c), (4, a), (5, a)], {(5, min((c, near), key=lambda t: __import__("hashlib").sha256(t.encode()).hexdigest())), (4, a)}),
+    ):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+        assert got(docs) == brute(rows)
+        assert {tuple(r) for r in near_dedup.drop_near_duplicates(docs).collect()} == left
+        assert near_dedup.drop_near_duplicates(docs).count() == len(left)

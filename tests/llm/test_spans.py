@@ -216,3 +216,19 @@ def test_empty(spark):
     assert rows_of(secrets.find_secrets(empty(spark))) == []
     assert rows_of(personal_data.find_personal_data(empty(spark))) == []
     assert secrets.redact_secrets(empty(spark)).count() == 0
+
+
+def test_nothing_of_a_secret_is_left():
+    words = secrets.dictionary([])
+    for text, left in (
+        (b"password = hunter2hunter2!Secr#tTail99x and more", b"[SECRET] and more"),
+        (b"secret=abcdefghijkl#Zq9!mT2@kk", b"[SECRET]"),
+        (b"pwd: K#9!deadbeefdeadbeef!xQ7z end", b"pwd: [SECRET] end"),
+        (b"token=abcdefghijkl, then", b"[SECRET], then"),
+    ):
+        base = secrets.base_spans(text)
+        found = base + secrets.guessed_spans(text, words, base)
+        assert secrets.redact(text, [s[:2] for s in found]) == left
+    cover = secrets.Cover([(2, 4), (6, 8)])
+    assert cover.gaps(0, 10) == [(0, 2), (4, 6), (8, 10)] and cover.gaps(3, 7) == [(4, 6)] and cover.gaps(2, 4) == [] and cover.gaps(4, 6) == [(4, 6)]
+    assert cover.gaps(9, 12) == [(9, 12)] and secrets.Cover().gaps(1, 3) == [(1, 3)]
