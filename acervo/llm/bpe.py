@@ -3,7 +3,7 @@
 Texts are cut by the tokenizer's pattern. The pieces of a batch that a worker hasn't met are bucketed by length; each bucket is a
 padded matrix of ids, a row a piece. In a round every row merges its leftmost pair of least rank: pairs are looked up in a hash
 table in numpy, merged rows are compacted by one column, and rows without a mergeable pair leave the matrix. Pieces of more than
-``LONG`` bytes, which would make very wide matrices, merge one pair at a time with least ranks kept for blocks of positions.
+``LONG`` bytes, which would make very wide matrices, merge all places of their least rank in a round, over linked neighbours.
 Decoding joins the tokens' bytes.
 
 The vocabulary (a rank file of fixed size) is read where the query starts and broadcast; worker caches have a bound.
@@ -15,6 +15,7 @@ doc_id is encoded like any other. Repeated rows get a row each; an empty table g
 from __future__ import annotations
 
 import base64
+import heapq
 from collections import defaultdict
 
 import numpy as np
@@ -23,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acervo.llm.common import Batches, Shared, batch_of, id_text, ids, mixed, raw_texts, sha256
-from acervo.llm.pretokens import Cutter
+from acervo.llm.pretokens import Cutter, tiktoken_table
 
 NONE = np.int32(2**31 - 1)
 LONG = 512
 MATRIX_CELLS = 1 << 20
 CACHED_PIECES = 300_000
+LONGEST_CACHED = 64  # longer pieces are encoded where they occur, so that the cache has a bound in bytes
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -81,7 +83,7 @@ class PairTable:
 
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.cutter, self.pairs = ranks, Cutter(pattern), PairTable(ranks)
+        self.ranks, self.cutter, self.pairs = ranks, Cutter(pattern, lambda: tiktoken_table(pattern)), PairTable(ranks)
         self.bytes_to_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.token_bytes: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -145,6 +147,65 @@ class Encoder:
         return out
 
     def merge_long(self, row: np.ndarray) -> np.ndarray:
+        """One row, merged in rounds: all places of the least rank at once, the left one first where two overlap.
+
+        Neighbours are linked, and each rank knows the places that had it when they were looked up. Should a merge make a pair of
+        lesser rank, which would have to be merged before the next place, the row is merged pair by pair instead.
+        """
+        n, start = len(row), row
+        row, after, before = row.copy(), np.arange(1, n + 1), np.arange(-1, n - 1)
+        ranks = np.full(n, NONE, np.int32)
+        ranks[: n - 1] = self.pairs.merged(row[:-1], row[1:])
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[ranks[places] != NONE]
+            if not len(places):
+                return
+            order = np.argsort(ranks[places], kind="stable")
+            places = places[order]
+            values, first = np.unique(ranks[places], return_index=True)
+            for value, part in zip(values.tolist(), np.split(places, first[1:]), strict=True):
+                if value not in waiting:
+                    waiting[value] = []
+                    heapq.heappush(heap, value)
+                waiting[value].append(part)
+
+        wait(np.arange(n - 1))
+        while heap:
+            least = heapq.heappop(heap)
+            places = np.unique(np.concatenate(waiting.pop(least)))
+            places = places[ranks[places] == least]
+            if not len(places):
+                continue
+            # Of a chain of overlapping places, the first, third, fifth ...
+            head = np.ones(len(places), bool)
+            head[1:] = after[places[:-1]] != places[1:]
+            at = np.arange(len(places))
+            places = places[(at - np.maximum.accumulate(np.where(head, at, 0))) % 2 == 0]
+            right = after[places]
+            # What stands to the right when a place is merged, be it merged itself afterwards.
+            beyond = after[right]
+            beyond = row[beyond[beyond < n]]
+            if (self.pairs.merged(np.full(len(beyond), least, np.int32), beyond) < least).any():
+                return self.merge_one_by_one(start)
+            row[places], row[right], ranks[right] = least, -1, NONE
+            after[places] = after[right]
+            inner = after[places] < n
+            before[after[places[inner]]] = places[inner]
+            touched = np.concatenate([places, before[places]])
+            touched = np.unique(touched[touched >= 0])
+            follows = after[touched]
+            ranks[touched] = NONE
+            paired = follows < n
+            ranks[touched[paired]] = self.pairs.merged(row[touched[paired]], row[follows[paired]])
+            if (ranks[touched] < least).any():
+                return self.merge_one_by_one(start)
+            wait(touched)
+        return row[row >= 0]
+
+    def merge_one_by_one(self, row: np.ndarray) -> np.ndarray:
         """One row, merged in place: neighbours are linked, and each block of positions knows its least rank."""
         n = len(row)
         row, side = row.copy(), 1 << max(4, int(n**0.5).bit_length())
@@ -183,7 +244,11 @@ class Encoder:
             cache.clear()
             missing = {p for pieces in cut for p in pieces}
         self.learn(missing)
-        return [np.frombuffer(b"".join(map(cache.__getitem__, pieces)), "<u4") for pieces in cut]
+        found = [np.frombuffer(b"".join(map(cache.__getitem__, pieces)), "<u4") for pieces in cut]
+        for piece in missing:
+            if len(piece) > LONGEST_CACHED:
+                del cache[piece]
+        return found
 
     def decode(self, tokens: np.ndarray) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, tokens.tolist()))

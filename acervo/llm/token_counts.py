@@ -22,19 +22,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acervo.llm.common import Batches, Shared, batch_of, id_text, ids, raw_texts
-from acervo.llm.pretokens import Cutter
+from acervo.llm.pretokens import Cutter, tokenizers_table
 
 LIMIT = 1024
 SAMPLE_ROWS = 2_000
 TABLE_ENTRIES = 32_768
 CACHED_PIECES = 300_000
+LONGEST_CACHED = 64  # longer pre-tokens are encoded where they occur, so that the cache has a bound in bytes
 
 
 class Lengths:
     """The token lengths of pre-tokens: a compact table of hashed frequent ones, then the worker's cache."""
 
     def __init__(self, definition: str, pattern: str):
-        self.definition, self.cutter = definition, Cutter(pattern)
+        self.definition, self.cutter = definition, Cutter(pattern, lambda: tokenizers_table(definition))
         self.special = [t["content"] for t in json.loads(definition)["added_tokens"]]
         self.pieces: list[str] = []
         self.lengths = np.zeros(0, np.uint16)
@@ -52,9 +53,9 @@ class Lengths:
         self.table, self.cache = dict(zip(self.pieces, self.lengths.tolist(), strict=True)), {}
 
     def with_table(self, pieces: list[str]) -> Lengths:
-        """With the given frequent pre-tokens; those too long for the table's numbers stay out."""
-        lengths = self.encoded(pieces)
-        chosen = [(p, n) for p, n in zip(pieces, lengths, strict=True) if n < 1 << 16]
+        """With the given frequent pre-tokens; long ones stay out."""
+        pieces = [p for p in pieces if len(p) <= LONGEST_CACHED]
+        chosen = list(zip(pieces, self.encoded(pieces), strict=True))
         made = Lengths(self.definition, self.cutter.pattern)
         made.pieces, made.lengths = [p for p, _ in chosen], np.array([n for _, n in chosen], np.uint16)
         return made
@@ -82,7 +83,11 @@ class Lengths:
             missing = {p for pieces, _ in cut for p in pieces if p not in table}
         new = list(missing)
         cache.update(zip(new, self.encoded(new), strict=True))
-        return [special + sum(table[p] if p in table else cache[p] for p in pieces) for pieces, special in cut]
+        counts = [special + sum(table[p] if p in table else cache[p] for p in pieces) for pieces, special in cut]
+        for piece in new:
+            if len(piece) > LONGEST_CACHED:
+                del cache[piece]
+        return counts
 
 
 def frequent_pieces(docs: DataFrame, lengths: Lengths, sample_rows: int, entries: int) -> list[str]:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import regex
@@ -41,6 +42,49 @@ def test_long_pieces_and_random_runs(library):
     assert [encoder.decode(e) for e in encoder.encode(runs)] == [r.encode() for r in runs]
 
 
+def test_rounds_over_places_equal_single_merges(library):
+    encoder, rng = bpe.Encoder(bpe.read_ranks(RANKS), PATTERN), random.Random(12)
+    for letters in ("a", "ab", "aé", "the anionres", "=-", "0123456789", "日本語"):
+        for n in (1, 2, 3, 40, 700):
+            raw = "".join(rng.choice(letters) for _ in range(n)).encode()
+            ids = encoder.bytes_to_ids[np.frombuffer(raw, "u1")]
+            assert encoder.merge_long(ids).tolist() == encoder.merge_one_by_one(ids).tolist()
+    # A vocabulary whose later tokens have lesser ranks is merged one by one.
+    odd = {bytes([b]): b + 10 for b in range(256)} | {b"aa": 9, b"aaa": 5, b"aab": 4}
+    made = bpe.Encoder(odd, PATTERN)
+    for text in ("aaaaab", "aaaa", "baaaaaab"):
+        ids = made.bytes_to_ids[np.frombuffer(text.encode(), "u1")]
+        want = tiktoken.Encoding("odd", pat_str=PATTERN, mergeable_ranks=odd, special_tokens={}).encode_ordinary(text)
+        assert made.merge_long(ids).tolist() == made.merge_one_by_one(ids).tolist() == want
+
+
+def test_a_piece_of_a_megabyte(library):
+    import time
+
+    rng = random.Random(13)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    encoder, started = bpe.Encoder(bpe.read_ranks(RANKS), PATTERN), time.time()
+    ids = encoder.encode([text])[0]
+    assert time.time() - started < 60 and encoder.decode(ids) == text.encode() and not encoder.cache
+    part = text[:20_000]
+    assert encoder.encode([part])[0].tolist() == library.encode_ordinary(part)
+
+
+def test_every_doubtful_character_is_cut_as_by_the_libraries(library):
+    """All characters on which `regex` and a library differ, the first 1,536, and some others."""
+    tokenizer, rng = Tokenizer.from_file(COUNTS), random.Random(14)
+    plain = pretokens.class_table()
+    by_tiktoken, by_tokenizers = pretokens.tiktoken_table(PATTERN), pretokens.tokenizers_table(tokenizer.to_str())
+    doubtful = [c for c in range(0x110000) if plain[c] != by_tiktoken[c] or plain[c] != by_tokenizers[c]]
+    points = [*range(0x600), *rng.sample(doubtful, min(2000, len(doubtful))), *(c for c in rng.sample(range(0x20000), 3000))]
+    some = [f"a{c}b 1{c} {c}{c}'s" for c in (chr(p) for p in points if not 0xD800 <= p < 0xE000)]
+    encoder = bpe.Encoder(bpe.read_ranks(RANKS), PATTERN)
+    assert [e.tolist() for e in encoder.encode(some)] == library.encode_ordinary_batch(some)
+    lengths = token_counts.Lengths(tokenizer.to_str(), PATTERN)
+    lengths.load()
+    assert lengths.counts(some) == [len(e.ids) for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+
+
 def test_decoded_table(spark):
     docs = documents(spark)
     back = {r["doc_id"]: r["text"] for r in rows_of(bpe.decoded(bpe.encoded(docs, RANKS, PATTERN), RANKS))}

@@ -1,3 +1,4 @@
+import hashlib
 import re
 from itertools import combinations
 
@@ -85,7 +86,7 @@ def test_two_texts_of_one_document(spark):
     for rows, left in (
         ([(1, a), (1, b), (2, c)], {(1, a), (1, b), (2, c)}),
         ([(1, a), (1, a), (1, b), (2, near), (3, c), (1, "")], {(1, a), (1, b), (2, near), (1, "")}),
-        ([(5, c), (5, near), (6, c), (4, a), (5, a)], {(5, min((c, near), key=lambda t: __import__("hashlib").sha256(t.encode()).hexdigest())), (4, a)}),
+        ([(5, c), (5, near), (6, c), (4, a), (5, a)], {(5, min((c, near), key=lambda t: hashlib.sha256(t.encode()).hexdigest())), (4, a)}),
     ):
         docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
         assert got(docs) == brute(rows)
