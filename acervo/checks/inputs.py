@@ -83,6 +83,59 @@ def _(t: Tables) -> DataFrame:
     return corpus_json.flatten_manifest(read)["versions"].withColumn("position", c("position").cast("bigint"))
 
 
+# The manifests' other tables: the institution, one replacement (of a nation's first supplier by its last), one conflict of all.
+@check(
+    "flatten_manifest_tables",
+    """WITH given AS (SELECT * FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    ends AS (SELECT n_nationkey, min(s_suppkey) AS a, max(s_suppkey) AS b FROM given GROUP BY ALL)
+    SELECT 'documents' AS tab, 'd'||s_suppkey AS a, 'manifest/'||n_regionkey AS b, n_name AS c, s_name||'/'||coalesce(CASE WHEN s_suppkey % 2 = 0 THEN 'about '||s_name END, '-') AS d FROM given
+    UNION ALL SELECT DISTINCT 'institutions', n_name||'.json', n_name, lower(n_name)||'@school', CAST(n_nationkey AS VARCHAR) FROM given
+    UNION ALL SELECT 'replacement', 'd'||a, 'v'||a, 'v'||b, CAST(b % 2 = 0 AS VARCHAR) FROM ends
+    UNION ALL SELECT 'conflicts', 'c'||n_nationkey, n_name, 'd'||s_suppkey||'/v'||s_suppkey, (s_suppkey % 7 + 1)||'/'||s_name FROM given""",
+)
+def _(t: Tables) -> DataFrame:
+    c, lit = F.col, F.lit
+    key = c("s_suppkey").cast("string")
+    document = F.struct(
+        F.concat(lit("d"), key).alias("documentId"), c("n_name").alias("topic"), c("s_name").alias("title"),
+        F.when(c("s_suppkey") % 2 == 0, F.concat(lit("about "), "s_name")).alias("description"),
+        F.array(F.struct(F.concat(lit("v"), key).alias("versionId"), F.concat("n_name", lit(".json")).alias("source"))).alias("versions"),
+    )
+    claim = F.struct(
+        "s_suppkey", F.concat(lit("d"), key).alias("documentId"), F.concat(lit("v"), key).alias("versionId"),
+        (c("s_suppkey") % 7 + 1).cast("int").alias("page"), c("s_name").alias("claim"),
+    )
+    nation = c("n_nationkey").cast("string")
+    first, last = F.min("s_suppkey"), F.max("s_suppkey")
+    manifests = (
+        t.supplier.join(t.nation, c("s_nationkey") == c("n_nationkey")).groupBy("n_nationkey", "n_name", "n_regionkey")
+        .agg(F.collect_list(document).alias("documents"), F.sort_array(F.collect_list(claim)).alias("claims"), first.alias("first"), last.alias("last"))
+        .select(
+            c("n_nationkey").alias("k"), F.concat(lit("manifest/"), c("n_regionkey").cast("string")).alias("schema"),
+            F.struct(c("n_name").alias("name"), F.concat(F.lower("n_name"), lit("@school")).alias("email"), nation.alias("phone")).alias("institution"),
+            "documents",
+            F.struct(
+                F.concat(lit("d"), c("first").cast("string")).alias("documentId"),
+                F.struct(F.concat(lit("v"), c("first").cast("string")).alias("versionId")).alias("previous"),
+                F.struct(F.concat(lit("v"), c("last").cast("string")).alias("versionId"), F.when(c("last") % 2 == 0, True).alias("activate")).alias("current"),
+            ).alias("replacement"),
+            F.array(F.struct(F.concat(lit("c"), nation).alias("id"), c("n_name").alias("subject"), F.transform("claims", lambda x: x.dropFields("s_suppkey")).alias("claims"))).alias("conflicts"),
+        )
+    )
+    flat = corpus_json.flatten_manifest(corpus_json.read_manifest(t.spark, _written(t, manifests, "manifests")))
+
+    def shown(name: str, *columns) -> DataFrame:
+        return flat[name].select(lit(name).alias("tab"), *[column.cast("string").alias(to) for to, column in zip("abcd", columns)])
+
+    slash = lit("/")
+    return (
+        shown("documents", c("document_id"), c("manifest_schema"), c("topic"), F.concat("title", slash, F.coalesce("description", lit("-"))))
+        .unionByName(shown("institutions", c("source"), c("expected_name"), c("expected_email"), c("expected_phone")))
+        .unionByName(shown("replacement", c("document_id"), c("previous_version_id"), c("current_version_id"), c("current_activates")))
+        .unionByName(shown("conflicts", c("conflict_id"), c("subject"), F.concat("document_id", slash, "version_id"), F.concat(c("page").cast("string"), slash, "claim")))
+    )
+
+
 # Fifty conversations are one file of questions.
 @check(
     "read_eval_questions",

@@ -373,6 +373,16 @@ def _(t: Tables) -> DataFrame:
     return fs.check_signature(fs.accept_files(files(t), max_bytes=LIMIT)).select("path", "error_code")
 
 
+@check(
+    "check_signature_whole",
+    f"""WITH {FILES_SQL} SELECT path, octet_length(encode(content)) AS length, CASE WHEN NOT lower(path) LIKE '%.pdf' THEN 'PDF_EXTENSION_INVALID'
+      WHEN content NOT LIKE '\\%PDF-%' ESCAPE '\\' THEN 'PDF_SIGNATURE_INVALID' END AS error_code FROM files""",
+)
+def _(t: Tables) -> DataFrame:
+    """Texts of every length, as the operators take them without a limit of one's own."""
+    return fs.check_signature(fs.accept_files(files(t))).select("path", "length", "error_code")
+
+
 @check("hash_content", f"WITH {FILES_SQL} SELECT path, sha256(content) AS content_hash FROM files")
 def _(t: Tables) -> DataFrame:
     return fs.hash_content(files(t)).select("path", "content_hash")
