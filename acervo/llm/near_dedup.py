@@ -215,9 +215,10 @@ def components_of(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, text_key, n_shingles, group (of linked classes; null for rows that none can be linked with), component_id."""
     sketch = staged(sketches(docs))
     named = sketch.filter("doc_id is not null and n_shingles > 0")
-    # A class is numbered, and stands by its least doc_id; two classes may have that in common.
-    found = named.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min_by("signature", "doc_id").alias("signature"))
-    classes = staged(found.withColumn("node", F.monotonically_increasing_id()))
+    # A class stands by its least doc_id, which two classes may have in common; numbers ascend as these do.
+    found = staged(named.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min_by("signature", "doc_id").alias("signature")))
+    order = ("doc_id", "set_key")
+    classes = staged(found.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()))
     components = linked_components(docs, classes)
     grouped = classes.select("set_key", "node", "doc_id").join(components, "node", "left").withColumn("group", F.coalesce("component", "node"))
     least = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))
